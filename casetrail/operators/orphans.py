@@ -108,8 +108,8 @@ def _solve(chunk: pa.Table) -> pa.RecordBatch | None:
     is_parent = np.asarray(names.indices.is_null())
     first = np.full(len(keys.dictionary), END, np.int64)
     gone = np.full(len(keys.dictionary), END, np.int64)
-    first[code[is_parent]] = chunk.column("first_loaded").to_numpy()[is_parent].astype(np.int64)
-    gone[code[is_parent]] = chunk.column("withdrawn").to_numpy()[is_parent].astype(np.int64)
+    first[code[is_parent]] = chunk.column("first_loaded").fill_null(END).to_numpy()[is_parent]
+    gone[code[is_parent]] = chunk.column("withdrawn").fill_null(END).to_numpy()[is_parent]
     if is_parent.all():
         return None
     table = np.where(is_parent, -1, np.asarray(names.indices.fill_null(-1)))
