@@ -59,19 +59,21 @@ def tables() -> tuple[dict[str, str], dict[str, str]]:
 
 
 @functools.cache
-def _python_table() -> dict[int, str | None]:
+def _python_table() -> tuple[frozenset[str], dict[str, str]]:
     one, many = tables()
-    out: dict[int, str | None] = {ord(k): v for k, v in {**one, **many}.items()}
-    out |= {ord(c): None for c in UNSEEN}
-    out |= {cp: None for cp in range(0xA0, LAST + 1) if U.category(chr(cp)) == "Cf"}
-    return out
+    out = {**one, **many, **{c: "" for c in UNSEEN}}
+    out |= {chr(cp): "" for cp in range(0xA0, LAST + 1) if U.category(chr(cp)) == "Cf"}
+    return frozenset(out), out
 
 
 def fold(text: str) -> str:
     """The folded form, in plain Python; equal to what the embedded SQL gives but for end blanks and CR LF."""
     if text.isascii():
         return text
-    return U.normalize("NFC", text.translate(_python_table()))
+    mapped, table = _python_table()
+    for c in mapped.intersection(text):
+        text = text.replace(c, table[c])
+    return U.normalize("NFC", text)
 
 
 _MARKS = re.compile("[̀-ͯ]+")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casetrail.llm import lookalike
+from casetrail.llm import encode, lookalike, repetition
 from casetrail.session import table
 
 
@@ -23,5 +23,23 @@ def p1_canonical_captions(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf, "extracted_figures"), "figure_id", ["caption"])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions)}
+def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encode.encode(table(spark, sf, "documents"), "doc_id", "text")
+
+
+def p9_judged(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.judge(table(spark, sf, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p9_judged(spark, sf).where("is_repetitive").select("doc_id")
+
+
+def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
+    shares = repetition.repeated_share(table(spark, sf, "documents"), "doc_id", "text", ["source"])
+    judged = shares.withColumn("is_repetitive", F.col("share") >= repetition.LIMIT - 1e-12)
+    return repetition.source_verdicts(judged, "source", "is_repetitive")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p7_ids, p9_found, p9_judged, p9_sources)}
 ORACLE = {}
