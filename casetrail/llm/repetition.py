@@ -7,7 +7,7 @@ and the source's verdict is joined back to its documents. The rates alone cannot
 repeats itself, so a document's own rule decides about it and the verdict stands beside it.
 
 Defined results: null, empty and blank texts and texts under six words have share 0; a null source is a
-source of its own; letters' case, accents, look-alike characters, punctuation, spacing and the numbering
+source of its own; letters' case, look-alike characters, punctuation, spacing and the numbering
 of lines do not matter; numbers elsewhere are words. Texts are handled whole; repeated rows each count.
 Counting by source is partial before the shuffle, so a source with a third of all rows costs one row per
 map task; what is joined back is one row per source.
@@ -17,13 +17,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from casetrail.llm.fold import bare
+from casetrail.llm.fold import fold
 from casetrail.session import cut, ship
 
 RUN = 5
@@ -34,17 +35,21 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words(text: str) -> list[str]:
-    return WORD(bare(NUMBERING.sub("", text)))
+    return WORD(fold(NUMBERING.sub("", text)).lower())
+
+
+class _Codes(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = code = len(self)
+        return code
 
 
 def shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """(words, repeated words) of each text."""
-    ids: dict[str, int] = {}
-    code = ids.setdefault
     all_words = [words(t) if t else [] for t in texts]
     n = np.array([len(w) for w in all_words], np.int64)
     total = int(n.sum())
-    seq = np.fromiter((code(x, len(ids)) for w in all_words for x in w), np.uint64, total)
+    seq = np.fromiter(map(_Codes().__getitem__, chain.from_iterable(all_words)), np.uint64, total)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
     out = np.zeros(len(texts), np.int64)
     if total <= RUN:
@@ -60,10 +65,9 @@ def shares(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     h = h[inside]
     order = np.argsort(h, kind="stable")
     again = inside[order[1:][h[order[1:]] == h[order[:-1]]]]
-    edge = np.zeros(total + 1, np.int64)
-    np.add.at(edge, again, 1)
-    np.add.at(edge, again + RUN, -1)
-    covered = np.cumsum(edge[:-1]) > 0
+    covered = np.zeros(total, bool)
+    for k in range(RUN):
+        covered[again + k] = True
     return n, np.bincount(doc[covered].astype(np.int64), minlength=len(texts))
 
 
