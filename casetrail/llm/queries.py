@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casetrail.llm import encode, lookalike, repetition
+from casetrail.llm import canonical, encode, lookalike, repetition
 from casetrail.session import table
 
 
@@ -23,6 +23,42 @@ def p1_canonical_captions(spark: SparkSession, sf: str) -> DataFrame:
     return lookalike.canonicalize(table(spark, sf, "extracted_figures"), "figure_id", ["caption"])
 
 
+def _typed_values(spark: SparkSession, sf: str) -> DataFrame:
+    reports = table(spark, sf, "case_reports").select(
+        F.lit("misdiagnosis_sequence").alias("field_name"), F.lit("diagnosis").alias("list_name"),
+        F.col("report_id").alias("row_id"), F.posexplode("misdiagnosis_sequence").alias("item_no", "value"))
+    reports = reports.withColumn("item_no", F.col("item_no") + 1)
+
+    def single(name: str, key: str, field: str, which: str) -> DataFrame:
+        return table(spark, sf, name).select(F.lit(field).alias("field_name"), F.lit(which).alias("list_name"),
+                                             F.col(key).alias("row_id"), F.lit(1).alias("item_no"), F.col(field).alias("value"))
+
+    return (reports.unionByName(single("sle_labels", "label_id", "true_wrong_diagnosis", "diagnosis"))
+            .unionByName(single("hpo_mapping_table", "map_id", "hpo_term", "hpo")))
+
+
+def _reference_lists(spark: SparkSession, sf: str) -> dict[str, list[tuple[str, str]]]:
+    return {"diagnosis": canonical.read_terms(table(spark, sf, "diagnosis_terms"), "term_id", "term_name"),
+            "hpo": canonical.read_terms(table(spark, sf, "hpo_terms"), "term_id", "term_name")}
+
+
+def p6_mapped(spark: SparkSession, sf: str) -> DataFrame:
+    return canonical.map_values(_typed_values(spark, sf), _reference_lists(spark, sf)).select(
+        "field_name", "row_id", "item_no", "value", "term_id")
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    lists = _reference_lists(spark, sf)
+    exact = spark.createDataFrame([(n, t) for n, terms in lists.items() for _, t in terms], "list_name string, value string")
+    typed = _typed_values(spark, sf).join(F.broadcast(exact), ["list_name", "value"], "left_anti")  # at most MAX_TERMS rows a list
+    return canonical.map_values(typed, lists).select("field_name", "row_id", "item_no", "term_id")
+
+
+def p6_unmatched(spark: SparkSession, sf: str) -> DataFrame:
+    return (p6_mapped(spark, sf).where(F.col("term_id") == canonical.NONE)
+            .groupBy("field_name", "value").agg(F.count("*").alias("n_values")))
+
+
 def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(table(spark, sf, "documents"), "doc_id", "text")
 
@@ -41,5 +77,5 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.source_verdicts(judged, "source", "is_repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p7_ids, p9_found, p9_judged, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p6_found, p6_mapped, p6_unmatched, p7_ids, p9_found, p9_judged, p9_sources)}
 ORACLE = {}
