@@ -139,9 +139,10 @@ class Matcher:
         for k, (_, w) in enumerate(self.terms):
             for x in dict.fromkeys(w):
                 self.vocabulary.setdefault(x, []).append(k)
-        self.by_length: dict[int, list[tuple[str, frozenset[str], str, frozenset[str]]]] = {}
+        self.by_length: dict[int, list[tuple[str, frozenset[str], str, frozenset[str], int]]] = {}
         for x in self.vocabulary:
-            self.by_length.setdefault(len(x), []).append((x, frozenset(x), sounded(x), frozenset(sounded(x))))
+            self.by_length.setdefault(len(x), []).append(
+                (x, frozenset(x), sounded(x), frozenset(sounded(x)), allowed(x)))
         self.near = lru_cache(200_000)(self._near)
 
     def mentions(self, text: str) -> set[int]:
@@ -175,8 +176,9 @@ class Matcher:
             letters, heard = frozenset(form), sounded(form)
             heard_letters = frozenset(heard)
             for n in range(max(1, len(form) - 4), len(form) + 5):
-                for x, own, x_heard, own_heard in self.by_length.get(n, ()):
-                    most = allowed(x)
+                for x, own, x_heard, own_heard, most in self.by_length.get(n, ()):
+                    if abs(n - len(form)) > most:
+                        continue
                     d = 9.0
                     if len(own - letters) <= most and len(letters - own) <= most:
                         got = distance(form, x, most)
@@ -302,5 +304,7 @@ def map_values(items: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> Dat
     """``items`` (field_name, list_name, row_id, item_no, value) with term_id; blank values drop out.
     Values written as the list has them are resolved by equality, all others by the matcher."""
     items = items.where(F.col("value").isNotNull() & (F.regexp_replace("value", r"(?U)[\s\p{Cf}]+", "") != ""))
-    distinct = items.select("list_name", "value").distinct()
+    # an explicit number of partitions, as these few bytes cost much time each and would be put together
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = items.select("list_name", "value").distinct().repartition(tasks, "value")
     return items.join(resolve_values(distinct, lists), ["list_name", "value"])
