@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casetrail.llm import canonical, encode, lookalike, repetition, scanned
+from casetrail.llm import canonical, encode, history, lookalike, repetition, scanned
 from casetrail.session import table
 
 
@@ -31,6 +31,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return p3_repaired(spark, sf).select("figure_id", F.explode("damage").alias("damage"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    _, pairs = history.repeats(table(spark, sf, "case_reports"), "report_id", "batch_no", "pubmed_id", "abstract")
+    return pairs.select(F.col("row_id_a").alias("report_id_a"), F.col("row_id_b").alias("report_id_b"))
+
+
 def _typed_values(spark: SparkSession, sf: str) -> DataFrame:
     reports = table(spark, sf, "case_reports").select(
         F.lit("misdiagnosis_sequence").alias("field_name"), F.lit("diagnosis").alias("list_name"),
@@ -85,5 +90,5 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.source_verdicts(judged, "source", "is_repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p3_found, p3_repaired, p6_found, p6_mapped, p6_unmatched, p7_ids, p9_found, p9_judged, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p3_found, p3_repaired, p4_found, p6_found, p6_mapped, p6_unmatched, p7_ids, p9_found, p9_judged, p9_sources)}
 ORACLE = {}
