@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casetrail.llm import canonical, encode, history, lookalike, repetition, scanned
-from casetrail.session import table
+from casetrail.llm import canonical, encode, history, lookalike, packing, repetition, scanned
+from casetrail.session import cut, table
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,6 +76,24 @@ def p7_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encode.encode(table(spark, sf, "documents"), "doc_id", "text")
 
 
+def p8_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document's pieces with their container, for each capacity."""
+    sizes = cut(encode.count_tokens(table(spark, sf, "documents"), "doc_id", "text"))
+    out = None
+    for row in table(spark, sf, "context_sizes").orderBy("size_name").collect():  # a fixed list of capacities
+        part = packing.pack(sizes, "doc_id", "n_tokens", row["capacity_tokens"]).select(F.lit(row["size_name"]).alias("size_name"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def p8_use(spark: SparkSession, sf: str) -> DataFrame:
+    """How much of the containers' room is used, for each capacity."""
+    per = p8_packed(spark, sf).groupBy("size_name", "container_id").agg(F.sum("n_tokens").alias("used"))
+    return (per.groupBy("size_name").agg(F.count("*").alias("n_containers"), F.sum("used").alias("n_tokens"), F.max("used").alias("fullest"))
+            .join(table(spark, sf, "context_sizes"), "size_name")
+            .withColumn("share_used", F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))))
+
+
 def p9_judged(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.judge(table(spark, sf, "documents"), "doc_id", "text", "source")
 
@@ -90,5 +108,5 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.source_verdicts(judged, "source", "is_repetitive")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p3_found, p3_repaired, p4_found, p6_found, p6_mapped, p6_unmatched, p7_ids, p9_found, p9_judged, p9_sources)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p3_found, p3_repaired, p4_found, p6_found, p6_mapped, p6_unmatched, p7_ids, p8_packed, p8_use, p9_found, p9_judged, p9_sources)}
 ORACLE = {}
