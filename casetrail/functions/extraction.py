@@ -165,7 +165,7 @@ def apply_extraction(df, rules: Rules = DEFAULT):
 
 def diagnostic_delay(text: Column) -> Column:
     """The first stated delay before the diagnosis, in days; null where none is stated."""
-    p = r"(?iU)\b(\d+)\s+(day|week|month|year)s?\b"
+    p = r"(?iU)\b([0-9]+)\s+(day|week|month|year)s?\b"
     n = F.regexp_extract(text, p, 1)
     unit = F.lower(F.regexp_extract(text, p, 2))
     days = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from casetrail.functions.scalar import dot, first_arg_max, softmax, unit
+from casetrail.functions.scalar import dot, first_arg_max, let
 
 # Classes in order of test with their patterns, and the acceptance bound of the vector fallback.
 CLASS_PATTERNS = (
@@ -29,11 +29,21 @@ def classify_caption(caption: Column) -> Column:
 
 def zero_shot(vector: Column, prompts: list[list[float]], labels: tuple[str, ...] = ZERO_SHOT_LABELS) -> Column:
     """struct(label, p): softmax over 100 x cosine with each prompt; the first label on ties."""
-    v = unit(vector)
-    rows = F.array(*[unit(F.array(*[F.lit(float(x)) for x in p])) for p in prompts])
-    p = softmax(F.transform(rows, lambda r: F.lit(100.0) * dot(v, r)))
-    at = first_arg_max(p)
-    return F.struct(F.element_at(F.array(*map(F.lit, labels)), at).alias("label"), F.array_max(p).alias("p"))
+    rows = F.lit([_unit(p) for p in prompts])
+
+    def decide(likeness: Column) -> Column:
+        top = F.array_max(likeness)
+        total = F.aggregate(likeness, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        return F.struct(F.element_at(F.array(*map(F.lit, labels)), first_arg_max(likeness)).alias("label"), (F.lit(1.0) / total).alias("p"))
+
+    scale = let(F.sqrt(dot(vector, vector)), lambda n: F.transform(
+        rows, lambda r: F.coalesce(F.try_divide(F.lit(100.0) * dot(vector, r), n), F.lit(0.0))))
+    return let(scale, decide)
+
+
+def _unit(v: list[float]) -> list[float]:
+    norm = sum(float(x) * float(x) for x in v) ** 0.5
+    return [float(x) / norm if norm else 0.0 for x in v]
 
 
 def accept_zero_shot(figure_type: Column, guess: Column) -> Column:

@@ -20,10 +20,13 @@ def top_k_by_vector(df: DataFrame, id_col: str, vector: str, query: list[float],
 def bm25(df: DataFrame, id_col: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Scores of every row holding one of a few stated terms. Corpus statistics cover all rows and
     form one aggregate row; no shuffle of texts."""
+    def count(term: str) -> Column:
+        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
+
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
     base = df.select(id_col, words.alias("_w")).select(
         id_col, F.size("_w").alias("_n"),
-        *[F.size(F.filter("_w", lambda w, t=t: w == F.lit(t))).alias(f"_tf{i}") for i, t in enumerate(terms)])
+        *[count(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"),
                      *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
     score = F.lit(0.0)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from casetrail.operators import orphans, packed
+from casetrail.functions import extraction, figures
+from casetrail.functions.keys import article_key
+from casetrail.functions.scalar import base_name, file_stem_id, version_number
+from casetrail.operators import evaluate, merge, orphans, overlay, packed, quality, report, search
 from casetrail.session import table
 
 
@@ -32,5 +35,152 @@ def p5_counts(spark: SparkSession, sf: str) -> DataFrame:
     return orphans.orphan_counts(_orphans(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_values, p5_found, p5_counts)}
-ORACLE: dict[str, str] = {}
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "case_reports").withColumn("article", article_key("pubmed_id"))
+
+
+def _figures(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "extracted_figures").withColumn("article", article_key("pubmed_id"))
+
+
+def extract_levels(spark: SparkSession, sf: str) -> DataFrame:
+    """The tier cascade over every report, with what it leaves in the sequence."""
+    return extraction.apply_extraction(table(spark, sf, "case_reports")).select(
+        "report_id", "evidence_level", F.array_join("misdiagnosis_sequence", " | ").alias("sequence"))
+
+
+def extract_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return report.level_counts(extraction.apply_extraction(table(spark, sf, "case_reports")))
+
+
+def signal_by_disease(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "case_reports").where(F.col("disease").isNotNull())
+    return report.coverage(d, "disease", F.coalesce(extraction.has_signal(F.col("abstract")), F.lit(False)))
+
+
+def diagnostic_delays(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "case_reports").select("report_id", extraction.diagnostic_delay(F.col("abstract")).alias("delay_days"))
+    return d.where(F.col("delay_days").isNotNull())
+
+
+def caption_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "extracted_figures").select("figure_id", figures.classify_caption(F.col("caption")).alias("class"))
+
+
+def figures_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "extracted_figures").select(F.coalesce("disease", F.lit("")).alias("disease"), F.lower(F.coalesce("figure_type", F.lit("other"))).alias("type"))
+    return d.rollup("disease", "type").agg(F.grouping_id().cast("int").alias("level"), F.count("*").alias("n"))
+
+
+def last_reports(spark: SparkSession, sf: str) -> DataFrame:
+    d = _reports(spark, sf).where(F.col("article").isNotNull()).select("article", "report_id", "batch_no", "disease")
+    return merge.last_wins(d, "article", "report_id")
+
+
+def merged_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per article, with or without a report, and its figures in order."""
+    c = _reports(spark, sf).select("article", "report_id", "disease", "title", "abstract", "misdiagnosis_sequence", "extracted_at")
+    f = _figures(spark, sf).select("article", "figure_index", "figure_id", "disease", "figure_type", "caption")
+    m = merge.merge_records(c, f, "article", ["report_id"], ["figure_index", "figure_id"])
+    return merge.summary(m, "article").join(m.select("article", F.try_element_at("figures", F.lit(1))["figure_id"].alias("first_figure")), "article")
+
+
+def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports with a wrong diagnosis on record against the labels; the last row of an article counts."""
+    p = _reports(spark, sf).where(F.col("article").isNotNull()).select(
+        "article", "report_id", (F.coalesce(F.size("misdiagnosis_sequence"), F.lit(0)) > 0).alias("predicted"))
+    t = table(spark, sf, "sle_labels").select(article_key("pubmed_id").alias("article"), "label_id", (F.col("has_misdiagnosis") == 1).alias("truth"))
+    t = t.where(F.col("article").isNotNull() & F.col("truth").isNotNull())
+    pairs = evaluate.join_predictions(merge.last_wins(p, "article", "report_id"), merge.last_wins(t, "article", "label_id"), "article")
+    return evaluate.confusion(pairs, "article", "predicted", "truth")
+
+
+def wrong_diagnosis_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return report.confusion_edges(table(spark, sf, "case_reports"), "misdiagnosis_sequence", "disease")
+
+
+def diagnosis_trails(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "case_reports").where(F.size("misdiagnosis_sequence") > 0)
+    return d.select("report_id", report.trail(F.col("misdiagnosis_sequence")).alias("trail"))
+
+
+def sequence_items(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "case_reports").select("report_id", F.posexplode("misdiagnosis_sequence").alias("place", "item"))
+
+
+TOPICS = {"kidney": "(?i)nephr|renal|urine", "skin": "(?i)rash|skin|purpura", "lung": "(?i)lung|pleur|cough", "nerve": "(?i)seizure|neur|headache"}
+
+
+def topics_by_disease(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "case_reports").withColumn("disease", F.coalesce("disease", F.lit("")))
+    return report.topic_matrix(d, "disease", "abstract", TOPICS).groupBy("topic", "disease").agg(F.count("*").alias("n"))
+
+
+def file_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "extracted_figures").select("figure_id", base_name(F.col("file_path")).alias("file"), file_stem_id(F.col("file_path")).alias("stem_id"))
+
+
+def newest_versions(spark: SparkSession, sf: str) -> DataFrame:
+    """Versioned prefixes made of order and line number: ".10/" beats ".9/", unnumbered ones lose."""
+    d = table(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("c"))
+    d = d.select(F.col("l_orderkey").alias("k"), F.concat(F.lit("P"), F.col("l_orderkey"), F.when(F.col("l_linenumber") == 1, F.lit("/")).otherwise(
+        F.concat(F.lit("."), F.col("l_linenumber") * 2, F.lit("/")))).alias("prefix"), F.col("l_linenumber").alias("o"))
+    d = figures.pick_version(d, "k", "prefix", "o")
+    return d.select("k", "prefix", version_number(F.col("prefix")).alias("version"))
+
+
+def annotated_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions laid over figures: every third open figure is typed, every seventh removed."""
+    f = table(spark, sf, "extracted_figures").select("figure_id", F.when(F.col("figure_index") % 2 == 0, F.lit("unlabeled")).otherwise(F.col("figure_type")).alias("figure_type"))
+    d = f.where((F.col("figure_id") % 3 == 0) | (F.col("figure_id") % 7 == 0)).select(
+        "figure_id", F.when(F.col("figure_id") % 3 == 0, "histology").alias("new_type"), (F.col("figure_id") % 7 == 0).alias("remove"))
+    return overlay.apply_decisions(f, d, ["figure_id"])
+
+
+def unlabelled_reports(spark: SparkSession, sf: str) -> DataFrame:
+    labelled = table(spark, sf, "sle_labels").select(article_key("pubmed_id").alias("article")).where("article is not null")
+    return _reports(spark, sf).where("article is not null").join(labelled, "article", "left_anti").select("report_id", "article")
+
+
+def zero_shot_types(spark: SparkSession, sf: str) -> DataFrame:
+    """The first four vectors stand for the four classes' prompts."""
+    e = table(spark, sf, "embeddings")
+    prompts = [r["embedding"] for r in e.where("vec_id < 4").orderBy("vec_id").collect()]
+    guess = figures.zero_shot(F.col("embedding"), prompts)
+    d = e.select("vec_id", F.when(F.col("label") < 5, "other").otherwise("imaging").alias("figure_type"), guess.alias("g"))
+    return d.select("vec_id", F.col("g.label").alias("label"), F.round("g.p", 6).alias("p"), figures.accept_zero_shot(F.col("figure_type"), F.col("g")).alias("accepted"))
+
+
+def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "embeddings")
+    query = e.where("vec_id = 7").first()["embedding"]
+    return search.top_k_by_vector(e, "vec_id", "embedding", query, 10).select("vec_id", F.round("score", 6).alias("score"))
+
+
+def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
+    hits = search.bm25(table(spark, sf, "case_reports"), "report_id", "abstract", ["tuberculosis", "lymphoma", "seizures"])
+    return hits.select("report_id", F.round("score", 6).alias("score"))
+
+
+def phenotype_map(spark: SparkSession, sf: str) -> DataFrame:
+    terms = table(spark, sf, "hpo_terms")
+    return table(spark, sf, "hpo_mapping_table").join(F.broadcast(terms), F.col("hpo_term") == F.col("term_name")).select("map_id", "disease", "term_id", "phenotype_category")
+
+
+def invalid_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports as JSON lines with one field spoiled by the line's number, validated again."""
+    d = table(spark, sf, "case_reports").where("pubmed_id is not null and disease is not null and title is not null and abstract is not null and misdiagnosis_sequence is not null and extracted_at is not null")
+    k = F.col("report_id") % 5
+    rest = ["disease", "title", "misdiagnosis_sequence", F.date_format("extracted_at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("extracted_at")]
+    line = (F.when(k == 0, F.to_json(F.struct("pubmed_id", "abstract", *rest)))
+            .when(k == 1, F.to_json(F.struct("pubmed_id", *rest)))
+            .when(k == 2, F.to_json(F.struct(F.lit(5).alias("pubmed_id"), "abstract", *rest)))
+            .when(k == 3, F.lit("{broken")).otherwise(F.lit("[1]")))
+    v = quality.validate(d.select("report_id", line.alias("value")), "CaseReport")
+    return v.select("report_id", F.array_join(F.transform("errors", lambda e: F.concat(e["field"], F.lit(":"), e["code"])), ",").alias("errors"))
+
+
+QUERIES = {f.__name__: f for f in (
+    extract_levels, extract_summary, signal_by_disease, diagnostic_delays, caption_classes, figures_by_type, last_reports, merged_summary,
+    label_confusion, wrong_diagnosis_edges, diagnosis_trails, sequence_items, topics_by_disease, file_ids, newest_versions, annotated_figures,
+    unlabelled_reports, zero_shot_types, nearest_vectors, keyword_search, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}
