@@ -109,4 +109,22 @@ def p9_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_canonical_reports, p1_canonical_captions, p3_found, p3_repaired, p4_found, p6_found, p6_mapped, p6_unmatched, p7_ids, p8_packed, p8_use, p9_found, p9_judged, p9_sources)}
-ORACLE = {}
+_TEXTS = " UNION ALL ".join(
+    f"SELECT '{t}' AS table_name, '{f}' AS field_name, {k} AS row_id, {f} AS raw, {f} AS look FROM {t} WHERE {f} <> ''"
+    for t, k, f in (("case_reports", "report_id", "title"), ("case_reports", "report_id", "abstract"), ("extracted_figures", "figure_id", "caption")))
+
+
+def _canonical(name: str, key: str, fields: list[str]) -> str:
+    return lookalike.canonical_sql(f"(SELECT {key}, {', '.join(fields)} FROM {name})", [key], fields)
+
+
+#: The other llm queries cannot be put in SQL; they are tested against brute force, the library or invariants.
+ORACLE = {
+    "p1_found": f"""
+        WITH seen AS ({lookalike.canonical_sql(f'({_TEXTS})', ['table_name', 'field_name', 'row_id', 'raw'], ['look'])})
+        SELECT a.table_name, a.field_name, a.row_id AS row_id_a, b.row_id AS row_id_b FROM seen a JOIN seen b
+        ON a.table_name = b.table_name AND a.field_name = b.field_name AND a.look = b.look AND a.row_id < b.row_id AND a.raw <> b.raw
+        WHERE a.look <> ''""",
+    "p1_canonical_reports": _canonical("case_reports", "report_id", ["title", "abstract"]),
+    "p1_canonical_captions": _canonical("extracted_figures", "figure_id", ["caption"]),
+}
