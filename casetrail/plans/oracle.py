@@ -72,7 +72,7 @@ ORACLE = {
                      first(disease ORDER BY figure_index NULLS FIRST, figure_id) AS disease
               FROM extracted_figures WHERE {KEY} IS NOT NULL GROUP BY 1)
         SELECT coalesce(c.article, f.article) AS article, coalesce(CASE WHEN c.article IS NOT NULL THEN c.disease ELSE f.disease END, '') AS disease,
-               c.article IS NOT NULL AS has_case_report, coalesce(f.n, 0)::INTEGER AS n_figures, f.first_figure
+               c.article IS NOT NULL AS has_case_report, coalesce(f.n, 0)::INTEGER AS n_figures, coalesce(f.first_figure, -1) AS first_figure
         FROM c FULL JOIN f ON c.article = f.article""",
     "label_confusion": f"""
         WITH p AS (SELECT {KEY} AS article, coalesce(len(misdiagnosis_sequence), 0) > 0 AS predicted FROM case_reports WHERE {KEY} IS NOT NULL

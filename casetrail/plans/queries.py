@@ -82,7 +82,7 @@ def merged_summary(spark: SparkSession, sf: str) -> DataFrame:
     c = _reports(spark, sf).select("article", "report_id", "disease", "title", "abstract", "misdiagnosis_sequence", "extracted_at")
     f = _figures(spark, sf).select("article", "figure_index", "figure_id", "disease", "figure_type", "caption")
     m = merge.merge_records(c, f, "article", ["report_id"], ["figure_index", "figure_id"])
-    return merge.summary(m, "article").join(m.select("article", F.try_element_at("figures", F.lit(1))["figure_id"].alias("first_figure")), "article")
+    return merge.summary(m, "article").join(m.select("article", F.coalesce(F.try_element_at("figures", F.lit(1))["figure_id"], F.lit(-1).cast("long")).alias("first_figure")), "article")
 
 
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
