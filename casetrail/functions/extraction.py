@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, functions as F
 
-from casetrail.functions.scalar import strip
+from casetrail.functions.scalar import let, strip
 
 # The words and patterns below decide which entities come out and must stay as they are.
 FILLER_WORDS = ("and", "or", "but", "with", "for", "in", "of", "at", "to", "a", "an", "the", "was", "were", "has", "have",
@@ -144,12 +144,12 @@ def extract(text: Column, disease: Column, rules: Rules = DEFAULT) -> Column:
 
     high, medium = high_entities(text, disease, rules), medium_entities(text, disease, rules)
     lexicon = lexicon_entities(text, disease, rules)
-    return (F.when(F.length(F.coalesce(text, F.lit(""))) < SHORTEST_TEXT, found(none, "none"))
-            .when(F.size(high) > 0, found(high, "high"))
-            .when(F.size(medium) > 0, found(medium, "medium"))
-            .when(~has_signal(text, rules), found(none, "none"))
-            .when(F.size(lexicon) > 0, found(lexicon, "gazetteer"))
-            .otherwise(found(none, "signal_only")))
+    # every tier is computed once, and only where the tiers above it gave nothing
+    last = let(lexicon, lambda e: F.when(F.size(e) > 0, found(e, "gazetteer")).otherwise(found(none, "signal_only")))
+    last = F.when(~has_signal(text, rules), found(none, "none")).otherwise(last)
+    rest = let(medium, lambda e: F.when(F.size(e) > 0, found(e, "medium")).otherwise(last))
+    best = let(high, lambda e: F.when(F.size(e) > 0, found(e, "high")).otherwise(rest))
+    return F.when(F.length(F.coalesce(text, F.lit(""))) < SHORTEST_TEXT, found(none, "none")).otherwise(best)
 
 
 def apply_extraction(df, rules: Rules = DEFAULT):
