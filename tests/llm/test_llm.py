@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -92,6 +94,33 @@ def test_p4_against_brute_force(spark):
     assert history.repeats(df.limit(0), "id", "b", "p", "t")[1].count() == 0
 
 
+def test_p4_share_of_all_words(spark):
+    """Against a brute force of the stated rule: five sixths of all the shorter one's words, changes on content words too."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(900)]
+    small = "the of and with was in to a".split()
+    rows, plain = [], {}
+    for base in range(40):
+        w = [r.choice(small) if r.random() < 0.3 else r.choice(vocabulary) for _ in range(r.choice([30, 60, 100, 145]))]
+        content = [i for i, x in enumerate(w) if x not in small]
+        for share in (0, 0.12, 0.15, 1 / 6, 0.2):
+            v = list(w)
+            for i in r.sample(content, min(len(content), int(share * len(w) + 1e-9))):
+                v[i] = f"x{r.randrange(10**9)}"
+            rows.append((len(rows), 1, None, " ".join(v)))
+        rows.append((len(rows), 1, None, " ".join([r.choice(vocabulary) for _ in range(len(w) // 4)] + w)))  # a sentence before it
+    for i, _, _, t in rows:
+        plain[i] = Counter(re.findall(r"\w+", t.lower()))
+    kept, want = [], set()
+    for i in plain:
+        hits = {j for j in kept if 6 * (plain[i] & plain[j]).total() >= 5 * min(plain[i].total(), plain[j].total())}
+        want |= {(j, i) for j in hits}
+        if not hits:
+            kept.append(i)
+    df = spark.createDataFrame(rows, "id long, b int, p string, t string")
+    assert {tuple(x) for x in history.repeats(df, "id", "b", "p", "t")[1].collect()} == want
+
+
 def test_p6_matching():
     m = canonical.Matcher([("1", "juvenile idiopathic arthritis"), ("2", "bullous pemphigoid"), ("3", "Q fever"), ("4", "rheumatic fever"),
                            ("5", "Reduced complement C3"), ("6", "Reduced complement C4"), ("7", "granulomatosis with polyangiitis")])
