@@ -157,6 +157,13 @@ def nearest_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return search.top_k_by_vector(e, "vec_id", "embedding", query, 10).select("vec_id", F.round("score", 6).alias("score"))
 
 
+def nearest_vectors_of_queries(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten nearest rows of every row whose id is divisible by 50."""
+    e = table(spark, sf, "embeddings")
+    found = search.top_k_of_queries(e, "vec_id", "embedding", e.where("vec_id % 50 = 0"), 10)
+    return found.select("query_id", "vec_id", F.round("score", 6).alias("score"))
+
+
 def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     hits = search.bm25(table(spark, sf, "case_reports"), "report_id", "abstract", ["tuberculosis", "lymphoma", "seizures"])
     return hits.select("report_id", F.round("score", 6).alias("score"))
@@ -183,4 +190,4 @@ def invalid_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     extract_levels, extract_summary, signal_by_disease, diagnostic_delays, caption_classes, figures_by_type, last_reports, merged_summary,
     label_confusion, wrong_diagnosis_edges, diagnosis_trails, sequence_items, topics_by_disease, file_ids, newest_versions, annotated_figures,
-    unlabelled_reports, zero_shot_types, nearest_vectors, keyword_search, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}
+    unlabelled_reports, zero_shot_types, nearest_vectors, nearest_vectors_of_queries, keyword_search, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}
