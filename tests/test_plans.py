@@ -1,5 +1,6 @@
 import math
 import random
+from datetime import datetime
 
 from casetrail.operators import search
 from casetrail.plans import queries
@@ -24,3 +25,13 @@ def test_search_of_a_query_set(spark, tmp_path):
     df = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
     small = search.top_k_of_queries(df, "vec_id", "embedding", df.where("vec_id % 50 = 0"), 10, size=7).collect()
     assert {(x["query_id"], x["vec_id"]) for x in small} == {(x["query_id"], x["vec_id"]) for x in got}
+
+
+def test_every_report_is_validated(spark, tmp_path):
+    good = ("1", "SLE", "t", "a", ["x"], datetime(2026, 1, 1))
+    rows = [(0, *good), (5, *good), (3, *good)] + [(10 + i, *good[:i], None, *good[i + 1:]) for i in range(6)] + [(20, *[None] * 6)]
+    spark.createDataFrame(rows, "report_id long, pubmed_id string, disease string, title string, abstract string, "
+                                "misdiagnosis_sequence array<string>, extracted_at timestamp").write.parquet(str(tmp_path / "case_reports.parquet"))
+    fields = ["pubmed_id", "disease", "title", "abstract", "misdiagnosis_sequence", "extracted_at"]
+    got = {x["report_id"]: x["errors"] for x in queries.invalid_records(spark, str(tmp_path)).collect()}
+    assert got == {0: "", 5: "", 3: "", **{10 + i: f"{f}:null" for i, f in enumerate(fields)}, 20: ",".join(f"{f}:null" for f in fields)}
