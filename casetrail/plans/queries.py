@@ -54,8 +54,7 @@ def extract_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def signal_by_disease(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "case_reports").where(F.col("disease").isNotNull())
-    return report.coverage(d, "disease", F.coalesce(extraction.has_signal(F.col("abstract")), F.lit(False)))
+    return report.coverage(table(spark, sf, "case_reports"), "disease", F.coalesce(extraction.has_signal(F.col("abstract")), F.lit(False)))
 
 
 def diagnostic_delays(spark: SparkSession, sf: str) -> DataFrame:

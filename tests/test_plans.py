@@ -35,3 +35,11 @@ def test_every_report_is_validated(spark, tmp_path):
     fields = ["pubmed_id", "disease", "title", "abstract", "misdiagnosis_sequence", "extracted_at"]
     got = {x["report_id"]: x["errors"] for x in queries.invalid_records(spark, str(tmp_path)).collect()}
     assert got == {0: "", 5: "", 3: "", **{10 + i: f"{f}:null" for i, f in enumerate(fields)}, 20: ",".join(f"{f}:null" for f in fields)}
+
+
+def test_reports_without_disease_are_counted(spark, tmp_path):
+    text = "She was initially diagnosed with tuberculosis."
+    rows = [(1, "SLE", text), (2, "SLE", "x"), (3, None, text), (4, None, None), (5, "", "x")]
+    spark.createDataFrame(rows, "report_id long, disease string, abstract string").write.parquet(str(tmp_path / "case_reports.parquet"))
+    got = {(x["disease"], x["is_total"]): (x["n"], x["n_flagged"]) for x in queries.signal_by_disease(spark, str(tmp_path)).collect()}
+    assert got == {("SLE", 0): (2, 1), (None, 0): (2, 1), ("", 0): (1, 0), (None, 1): (5, 2)}
