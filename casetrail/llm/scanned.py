@@ -1,14 +1,13 @@
 """Texts from scanned pages made whole: broken words, misread characters, page furniture.
 
 Two passes. The first counts words, neighbouring words and stand-alone lines over all texts. The second
-walks the texts with what is frequent enough to serve as evidence: a trie of the vocabulary is intersected
+walks the texts with these counts as evidence: a trie of the vocabulary is intersected
 with the Levenshtein automaton of each suspicious word, whose edits are the substitutions, merges and
 splits of scanning, which finds every vocabulary word within the bound; candidates are ranked by frequency, by how likely the misreading is and by the words beside it.
 Lines of page furniture go, halves are joined and the rest is reflowed into one paragraph.
 
-Evidence is what occurs in at least MIN_SHARE of the texts (and MIN_COUNT times). A text of n words adds at
-most n to the counts, so at most (mean words per text) / MIN_SHARE entries can reach it, whatever the
-number of texts; that bound makes the evidence safe to broadcast.
+Words and neighbours are broadcast with their true counts, rare ones too, so a rule means the same at every
+number of texts. Their number grows with the distinct words and neighbours of the texts and has no fixed bound.
 
 Defined results: null stays null without damage; empty, blank and bare-label texts and texts without
 damage come out unchanged, line breaks included; repeated rows are each repaired; texts are handled
@@ -30,7 +29,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructField, Stru
 from casetrail.llm.fold import fold
 from casetrail.session import cut, ship
 
-MIN_SHARE = 1 / 20_000
+#: A half of a word is a word of its own if it occurs so often.
 MIN_COUNT = 4
 #: A running header stands alone in at least this share of the texts that have several lines.
 HEADER_SHARE = 1 / 150
@@ -128,15 +127,13 @@ class Evidence:
 
 
 def gather(df: DataFrame, text: str) -> Evidence:
-    """Counts over all rows; the driver gets the frequent entries only, whose number is bounded (see above)."""
+    """Counts over all rows: every word and pair of neighbours with its true count, and the lines that recur."""
     ship(df.sparkSession)
     counts = df.select(text).mapInArrow(_counted, _COUNTS).groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    # the totals ride along as two entries, so the texts are read once for both
-    most = F.when(F.col("kind") == "line", F.col("several") * HEADER_SHARE).otherwise(F.col("texts") * MIN_SHARE)
-    counts = cut(counts)
+    counts = cut(counts)  # the totals ride along as two entries, so the texts are read once for both
     total = {r["item"]: r["n"] for r in counts.where("kind = 'total'").collect()}
-    counts = counts.where("kind <> 'total'").withColumn("texts", F.lit(total.get("texts", 0))).withColumn("several", F.lit(total.get("several", 0)))
-    kept = counts.where((F.col("n") >= most) & (F.col("n") >= MIN_COUNT)).select("kind", "item", "n").toArrow()
+    line = (F.col("kind") == "line") & (F.col("n") >= max(MIN_COUNT, total.get("several", 0) * HEADER_SHARE))
+    kept = counts.where(F.col("kind").isin("word", "pair") | line).select("kind", "item", "n").toArrow()
     rows: dict[str, dict[str, int]] = {"word": {}, "pair": {}, "line": {}}
     for kind, item, n in zip(*(kept.column(i).to_pylist() for i in range(3))):
         rows[kind][item] = n
@@ -188,7 +185,8 @@ class Trie:
 class Repairer:
     def __init__(self, evidence: Evidence):
         self.words, self.pairs, self.headers = evidence.words, evidence.pairs, evidence.headers
-        self.trie = Trie(w for w in self.words if re.fullmatch(rf"{LETTERS}+", w))
+        # a word seen less often than RATIO times is RATIO times as frequent as none
+        self.trie = Trie(w for w, n in self.words.items() if n >= RATIO and re.fullmatch(rf"{LETTERS}+", w))
         self.candidates = lru_cache(200_000)(self._candidates)
         self.sound: set[str] = set()
 
@@ -215,9 +213,10 @@ class Repairer:
             return None
         scored = [(s + 2 * math.log1p(self.pairs.get(f"{before} {w}", 0)) + 2 * math.log1p(self.pairs.get(f"{w} {after}", 0)), w) for w, s in options]
         top = max(scored, key=lambda x: (x[0], x[1]))
-        own = self.words.get(word, 0)
-        if own:  # a known word: only where its neighbours speak against it
-            here = math.log(own) + 2 * math.log1p(self.pairs.get(f"{before} {word}", 0)) + 2 * math.log1p(self.pairs.get(f"{word} {after}", 0))
+        own = self.words.get(word, 0) - 1  # besides this occurrence, as with its neighbours
+        if own > 0:  # a word seen elsewhere: only where its neighbours speak against it
+            beside = [max(self.pairs.get(p, 0) - 1, 0) for p in (f"{before} {word}", f"{word} {after}")]
+            here = math.log(own) + 2 * math.log1p(beside[0]) + 2 * math.log1p(beside[1])
             if top[0] + 3 < here + 3 * (own >= self.words[top[1]] / 20):
                 return None
         return top[1]
@@ -243,7 +242,7 @@ class Repairer:
             return not (self.words.get(a, 0) > 20 * whole and self.words.get(b, 0) > 20 * whole) or at_line_end and whole > compound
         if not at_line_end:
             return False
-        return not (self.words.get(a, 0) and self.words.get(b, 0))
+        return not (self.words.get(a, 0) >= MIN_COUNT and self.words.get(b, 0) >= MIN_COUNT)
 
     def is_furniture(self, line: str) -> bool:
         if not line.strip() or LABEL.match(line):

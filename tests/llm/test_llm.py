@@ -64,6 +64,20 @@ def test_p3_trie_against_brute_force():
         assert trie.search(w, 0) == {w: 0}
 
 
+def test_p3_rare_words(spark):
+    """Words under a share of 1/20,000 of many texts, and under four in few, count as often as they occur."""
+    common = ["the patient wore a support stocking"] * 160_000
+    rare = ["a purple nodule"] * 4 + ["skin of the nodule"] * 3  # seven times 'nodule'
+    cases = ["seen a n0dule", "seen a nod-\nule"]
+    bands = ["a tight band here"] * 4 + ["her swollen hand now"] * 20  # ratio 5: 'band' is sound
+    texts = common + rare + cases + bands
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string").repartition(4)
+    got = {x["k"]: list(x["damage"]) for x in scanned.repair(df, "k", "t").where("k >= 160000").collect()}
+    n = len(common) + len(rare)
+    assert got[n] == ["misread"] and got[n + 1] == ["hyphenation"]
+    assert not any(got[i] for i in range(len(common), n)) and not any(got[i] for i in range(n + 2, len(texts)))
+
+
 def _greedy(rows):
     key = lambda p: (("".join(c for c in p if c.isdigit())).lstrip("0") or "0") if p and any(c.isdigit() for c in p) else None
     codes = history._Codes()
