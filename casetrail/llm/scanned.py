@@ -16,6 +16,7 @@ whole. Look-alike characters are no damage.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -31,8 +32,11 @@ from casetrail.session import cut, ship
 
 #: A half of a word is a word of its own if it occurs so often.
 MIN_COUNT = 4
-#: A running header stands alone in at least this share of the texts that have several lines.
+#: A line in this share of the texts that have several lines is a running header whatever else is known of it.
 HEADER_SHARE = 1 / 150
+#: Any other is one if it stands alone in so many different texts and its words follow each other hardly anywhere else.
+HEADER_COUNT = 4
+ALONE = 0.75
 #: A word is misread if a word it may stand for is at least so many times as frequent.
 RATIO = 6
 MOST_EDITS = 3
@@ -132,12 +136,51 @@ def gather(df: DataFrame, text: str) -> Evidence:
     counts = df.select(text).mapInArrow(_counted, _COUNTS).groupBy("kind", "item").agg(F.sum("n").alias("n"))
     counts = cut(counts)  # the totals ride along as two entries, so the texts are read once for both
     total = {r["item"]: r["n"] for r in counts.where("kind = 'total'").collect()}
-    line = (F.col("kind") == "line") & (F.col("n") >= max(MIN_COUNT, total.get("several", 0) * HEADER_SHARE))
+    line = (F.col("kind") == "line") & (F.col("n") >= HEADER_COUNT)
     kept = counts.where(F.col("kind").isin("word", "pair") | line).select("kind", "item", "n").toArrow()
     rows: dict[str, dict[str, int]] = {"word": {}, "pair": {}, "line": {}}
     for kind, item, n in zip(*(kept.column(i).to_pylist() for i in range(3))):
         rows[kind][item] = n
-    return Evidence(rows["word"], rows["pair"], set(rows["line"]))
+    sure = {x for x, n in rows["line"].items() if n >= total.get("several", 0) * HEADER_SHARE}
+    alone = {x for x, n in rows["line"].items() if x not in sure and _stands_alone(x, n, rows["word"], rows["pair"])}
+    return Evidence(rows["word"], rows["pair"], sure | _in_different_texts(df, text, alone))
+
+
+def _stands_alone(line: str, n: int, words: dict[str, int], pairs: dict[str, int]) -> bool:
+    """Whether a line's words stand together in it and hardly in running text."""
+    parts = [_words_of_piece(p)[0] for p in line.split()]
+    found = [w for p in parts for w in p]
+    beside = [x for p in parts for x in zip(p, p[1:])] + [(a[-1], b[0]) for a, b in zip(parts, parts[1:]) if a and b]
+    # forms hold 9 for every number, so what has digits besides letters has no count
+    known = [pairs.get(f"{a} {b}", 0) for a, b in beside if not re.search(r"\d", a + b)]
+    if len(found) == 1 and found[0].isalpha():
+        known = [words.get(found[0], 0)]
+    return bool(known) and n >= ALONE * min(known)
+
+
+_AROUND = StructType([StructField("line", StringType()), StructField("around", LongType())])
+
+
+def _in_different_texts(df: DataFrame, text: str, lines: set[str]) -> set[str]:
+    """Those of some lines that stand in HEADER_COUNT texts or more that differ in the rest."""
+    if not lines:
+        return set()
+    shared = df.sparkSession.sparkContext.broadcast(lines)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list[str], list[int]] = ([], [])
+            for t in batch.column(0).to_pylist():
+                if t and ("\n" in t or "\r" in t):
+                    forms = [line_form(x) for x in split_lines(t)]
+                    for f in set(forms) & shared.value:
+                        rest = " ".join(x for x in forms if x != f)
+                        out[0].append(f)
+                        out[1].append(int.from_bytes(hashlib.blake2b(rest.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int64())], names=_AROUND.names)
+
+    found = df.select(text).mapInArrow(run, _AROUND).groupBy("line").agg(F.countDistinct("around").alias("n"))
+    return {r["line"] for r in found.where(F.col("n") >= HEADER_COUNT).collect()}
 
 
 # ---- candidates -------------------------------------------------------------------------------

@@ -64,6 +64,34 @@ def test_p3_trie_against_brute_force():
         assert trie.search(w, 0) == {w: 0}
 
 
+def test_p3_headers_of_many_journals(spark):
+    """Headers of journals far below 1/150 of the captions go, one large journal beside them or not; recurring lines of sound text stay."""
+    r = random.Random(6)
+    words = "biopsy of the renal cortex showed plasma cells and change without severe overlapping rash wrists scalp lesion margin".split()
+    text = lambda: " ".join(r.choice(words) for _ in range(6))
+    name = lambda i: "".join("bdfgkmpz"[int(c)] + "aeo"[int(c) % 3] for c in f"{i:03o}")
+    texts, want = [text() for _ in range(2000)], {}
+    for i in range(1500):
+        want[len(texts)] = i % 3 == 0
+        texts.append(f"{text()}\n{'Great Journal, p. 7' if i % 3 == 0 else 'renal cortex showed'}\n{text()}")
+    for journal in range(60):
+        for j in range(5):
+            want[len(texts)] = True
+            head = f"Acta {name(journal)} {name(journal + 100)} {journal}"
+            texts.append(f"{head}\n{text()}\n{text()}" if j % 2 else f"{text()}\n{head}\n{text()}")
+    odd = text() + "\nunheard of wording\n" + text()  # one caption, extracted five times
+    for _ in range(5):
+        want[len(texts)] = False
+        texts.append(odd)
+    texts[:500] = [f"{t} renal cortex showed {t}" for t in texts[:500]]
+    # the sound recurring line must not reach the share itself
+    keep = [i for i in range(len(texts)) if want.get(i) is not False or i % 300 == 1 or i >= len(texts) - 5]
+    df = spark.createDataFrame([(i, texts[i]) for i in keep], "k long, t string")
+    got = {x["k"]: "running_text" in x["damage"] for x in scanned.repair(df, "k", "t").collect()}
+    wrong = [texts[i] for i in keep if i in want and got[i] != want[i]]
+    assert not wrong, wrong[:5]
+
+
 def test_p3_rare_words(spark):
     """Words under a share of 1/20,000 of many texts, and under four in few, count as often as they occur."""
     common = ["the patient wore a support stocking"] * 160_000
