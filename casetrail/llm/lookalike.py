@@ -129,7 +129,7 @@ def equal_looking(parts: dict[str, DataFrame]) -> DataFrame:
 
     Groups of one form, the vast majority, end in a partial aggregation. In the rest, the rows of the
     group's most frequent form meet the others only, so a form that a third of all rows have costs what
-    it gives and no more; the side of the others is spread over salts.
+    it gives and no more; such a form is spread by adaptive skew handling only, there is no salt.
     """
     rows = None
     for name, df in parts.items():
