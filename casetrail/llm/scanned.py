@@ -148,6 +148,8 @@ def gather(df: DataFrame, text: str) -> Evidence:
 
 def _stands_alone(line: str, n: int, words: dict[str, int], pairs: dict[str, int]) -> bool:
     """Whether a line's words stand together in it and hardly in running text."""
+    if line[-1] in HYPHENS:  # the half of a broken word
+        return False
     parts = [_words_of_piece(p)[0] for p in line.split()]
     found = [w for p in parts for w in p]
     beside = [x for p in parts for x in zip(p, p[1:])] + [(a[-1], b[0]) for a, b in zip(parts, parts[1:]) if a and b]
