@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -46,14 +47,24 @@ def ship(spark: SparkSession) -> None:
     context._casetrail_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the session names it. Where it names none, a local master (one
+    machine, as in tests) gets one of its own; on a cluster that is an error, as no machine sees another's."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.match(r"local(\[|$)", context.master):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="casetrail-ckpt-")
+        context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the cluster's checkpoint folder and read them back, so that work
-    above is done once and a lost executor does not bring it back. Only where the session
-    names no folder (tests) is one of our own set."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="casetrail-ckpt-"))
+    above is done once and a lost executor does not bring it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
