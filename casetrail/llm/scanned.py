@@ -1,13 +1,18 @@
 """Texts from scanned pages made whole: broken words, misread characters, page furniture.
 
-Two passes. The first counts words, neighbouring words and stand-alone lines over all texts. The second
-walks the texts with these counts as evidence: a trie of the vocabulary is intersected
-with the Levenshtein automaton of each suspicious word, whose edits are the substitutions, merges and
-splits of scanning, which finds every vocabulary word within the bound; candidates are ranked by frequency, by how likely the misreading is and by the words beside it.
-Lines of page furniture go, halves are joined and the rest is reflowed into one paragraph.
-
-Words and neighbours are broadcast with their true counts, rare ones too, so a rule means the same at every
-number of texts. Their number grows with the distinct words and neighbours of the texts and has no fixed bound.
+1. Words, neighbouring words and stand-alone lines are counted over all texts, with count 0 also those that only come to
+   stand together when lines are joined.
+2. Every distinct word meets the vocabulary: the Levenshtein automaton of the word (any letter substituted, inserted or
+   deleted, and the merges and splits of shapes that scanning confuses) is intersected with the vocabulary's trie,
+   which gives every vocabulary word within the bound. Branches without a word frequent enough are left out.
+3. The texts are walked with this evidence: candidates are ranked by frequency, by how likely the misreading is (confused
+   shapes cost less than other edits) and by the words beside them; halves are joined, page furniture goes, and the rest
+   is reflowed into one paragraph. A word reached by other edits than confused shapes counts only if both
+   neighbours speak for it and it occurs nowhere else.
+
+What is broadcast are the words and those pairs of neighbours that a misread word or what it may stand for is part of, all with their
+true counts. Where that is more than BOUND entries, the texts are worked off in slices, each with the evidence its own
+texts ask for; a vocabulary of more than BOUND words is met in shards. Rules mean the same at every number of texts.
 
 Defined results: null stays null without damage; empty, blank and bare-label texts and texts without
 damage come out unchanged, line breaks included; repeated rows are each repaired; texts are handled
@@ -21,7 +26,6 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,14 +36,14 @@ from casetrail.session import cut, ship
 
 #: A half of a word is a word of its own if it occurs so often.
 MIN_COUNT = 4
-#: A line in this share of the texts that have several lines is a running header whatever else is known of it.
-HEADER_SHARE = 1 / 150
-#: Any other is one if it stands alone in so many different texts and its words follow each other hardly anywhere else.
+#: A line is a running header if it stands alone in so many different texts and its words follow each other hardly anywhere else.
 HEADER_COUNT = 4
 ALONE = 0.75
 #: A word is misread if a word it may stand for is at least so many times as frequent.
 RATIO = 6
-MOST_EDITS = 3
+#: Edits of any kind, and other edits than confused shapes: the longer word allows the second only where one gives nothing.
+MOST_EDITS, OTHER_EDITS, LONG_WORD = 3, 2, 8
+BOUND = 5_000_000
 
 HYPHENS = "-‐‑¬­"
 LETTERS = r"[^\W\d_]"
@@ -85,8 +89,40 @@ def _words_of_piece(piece: str) -> tuple[list[str], list[str]]:
     return tokens(plain), [x.lower() for x in COMPOUND.findall(plain)] if "-" in plain else []
 
 
+HALF = re.compile(rf"({LETTERS}[\w@!|$]*)[{HYPHENS}](\s*)(?=[\w@!|$])")
+
+
+def _may_meet(text: str) -> Iterator[tuple[str, str]]:
+    """Words and neighbours that stand together once a line between them goes or halves are joined."""
+    lines = [x for x in split_lines(fold(text.replace("\xad", "¬"))) if x.strip()]
+    found = [tokens(x) for x in lines]
+    for i, left in enumerate(found):
+        for j in (i, i + 1, i + 2):
+            if j == i or j >= len(found) or not left or not found[j]:
+                continue
+            yield "pair", f"{left[-1]} {found[j][0]}"
+            if lines[i].rstrip()[-1] in HYPHENS:
+                whole = left[-1] + found[j][0]
+                yield "word", whole
+                if len(left) > 1:
+                    yield "pair", f"{left[-2]} {whole}"
+                if len(found[j]) > 1:
+                    yield "pair", f"{whole} {found[j][1]}"
+    for x in lines:
+        for m in HALF.finditer(x):
+            before, after = tokens(x[:m.start(1)]), tokens(x[m.end():])
+            if after and (half := tokens(m[1])):
+                whole = half[-1] + after[0]
+                yield "word", whole
+                if before:
+                    yield "pair", f"{before[-1]} {whole}"
+                if len(after) > 1:
+                    yield "pair", f"{whole} {after[1]}"
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    piece, pair, line, total = Counter(), Counter(), Counter(), Counter()
+    piece, pair, line = Counter(), Counter(), Counter()
+    asked: set[tuple[str, str]] = set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         word, beside, parts = Counter(), Counter(), {}
@@ -100,64 +136,135 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left, right = parts[a][0], parts[b][0]
             if left and right:
                 beside[f"{left[-1]} {right[0]}"] += n
-        for kind, c in (("word", word), ("pair", beside), ("line", line), ("total", total)):
+        for kind, x in asked:
+            (word if kind == "word" else beside)[x] += 0
+        for kind, c in (("word", word), ("pair", beside), ("line", line)):
             if c:
                 yield pa.RecordBatch.from_arrays([pa.array([kind] * len(c)), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())],
                                                  names=_COUNTS.names)
-        for c in (piece, pair, line, total):
+        for c in (piece, pair, line, asked):
             c.clear()
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
-            total["texts"] += 1
             if "\n" in text or "\r" in text:
-                total["several"] += 1
-                line.update(f for x in split_lines(text) if x.strip() and len(f := line_form(x)) <= 200 and not LABEL.match(x))
+                line.update(f for x in split_lines(text) if x.strip() and (f := line_form(x)) and not LABEL.match(x))
+                asked.update(x for x in _may_meet(text))
+            elif HALF.search(text):
+                asked.update(x for x in _may_meet(text))
             pieces = text.split()
             piece.update(pieces)
             pair.update(zip(pieces, pieces[1:]))
-        if len(piece) + len(pair) + len(line) > 300_000:
+        if len(piece) + len(pair) + len(line) + len(asked) > 300_000:
             yield from flush()
     yield from flush()
 
 
 class Evidence:
-    """What the whole corpus says about words, neighbours and lines."""
+    """What the whole corpus says about words, neighbours and lines, and what a misread word may stand for."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[str, int], headers: set[str]):
-        self.words, self.pairs, self.headers = words, pairs, headers
+    def __init__(self, words: dict[str, int], pairs: dict[str, int], headers: set[str], options: dict[str, tuple]):
+        self.words, self.pairs, self.headers, self.options = words, pairs, headers, options
 
 
-def gather(df: DataFrame, text: str) -> Evidence:
-    """Counts over all rows: every word and pair of neighbours with its true count, and the lines that recur."""
-    ship(df.sparkSession)
-    counts = df.select(text).mapInArrow(_counted, _COUNTS).groupBy("kind", "item").agg(F.sum("n").alias("n"))
-    counts = cut(counts)  # the totals ride along as two entries, so the texts are read once for both
-    total = {r["item"]: r["n"] for r in counts.where("kind = 'total'").collect()}
-    line = (F.col("kind") == "line") & (F.col("n") >= HEADER_COUNT)
-    kept = counts.where(F.col("kind").isin("word", "pair") | line).select("kind", "item", "n").toArrow()
-    rows: dict[str, dict[str, int]] = {"word": {}, "pair": {}, "line": {}}
-    for kind, item, n in zip(*(kept.column(i).to_pylist() for i in range(3))):
-        rows[kind][item] = n
-    sure = {x for x, n in rows["line"].items() if n >= total.get("several", 0) * HEADER_SHARE}
-    alone = {x for x, n in rows["line"].items() if x not in sure and _stands_alone(x, n, rows["word"], rows["pair"])}
-    return Evidence(rows["word"], rows["pair"], sure | _in_different_texts(df, text, alone))
-
-
-def _stands_alone(line: str, n: int, words: dict[str, int], pairs: dict[str, int]) -> bool:
-    """Whether a line's words stand together in it and hardly in running text."""
+_OPTION = "word string, right string, n long, edits int, other int"
+
+
+def _options(words: DataFrame) -> DataFrame:
+    """(word, right, n, edits, other) for each of (item, n) that may be a misread word: the frequent enough words within
+    the bound, how often they occur, and the edits, those beside confused shapes apart."""
+    spark = words.sparkSession
+    vocabulary = words.where((F.col("n") >= RATIO) & F.rlike("item", F.lit(rf"^\p{{L}}+$")))
+    shards = max(1, math.ceil(vocabulary.count() / BOUND))
+    out = None
+    for shard in range(shards):
+        part = vocabulary.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).toArrow()  # at most BOUND words or so
+        shared = spark.sparkContext.broadcast(dict(zip(part.column("item").to_pylist(), part.column("n").to_pylist())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            trie = Trie(shared.value)
+            for batch in batches:
+                rows = [(word, *x) for word, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in may_stand_for(trie, word, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()))],
+                                                 names=["word", "right", "n", "edits", "other"])
+
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = words.select("item", "n").repartition(tasks, "item").mapInArrow(run, _OPTION)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _headers(counts: DataFrame, df: DataFrame, text: str) -> set[str]:
+    """Lines that recur in different texts and whose words hardly stand together elsewhere."""
+    lines = counts.where((F.col("kind") == "line") & (F.col("n") >= HEADER_COUNT)).select("item", "n")
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(line, n, *x) for line, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in _line_parts(line)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()),
+                                              pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.string())],
+                                             names=["line", "n_line", "kind", "item"])
+
+    asked = lines.mapInArrow(parts, "line string, n_line long, kind string, item string")
+    least = (asked.join(counts, ["kind", "item"], "left").groupBy("line").agg(F.max("n_line").alias("n_line"), F.min(F.coalesce("n", F.lit(0))).alias("least")))
+    alone = {r["line"] for r in least.where(F.col("n_line") >= F.lit(ALONE) * F.col("least")).select("line").collect()}
+    return _in_different_texts(df, text, alone)
+
+
+def _line_parts(line: str) -> Iterator[tuple[str, str]]:
+    """The counts that tell whether a line's words stand together elsewhere: its pairs of neighbours, or its one word."""
     if line[-1] in HYPHENS:  # the half of a broken word
-        return False
+        return
     parts = [_words_of_piece(p)[0] for p in line.split()]
     found = [w for p in parts for w in p]
-    beside = [x for p in parts for x in zip(p, p[1:])] + [(a[-1], b[0]) for a, b in zip(parts, parts[1:]) if a and b]
-    # forms hold 9 for every number, so what has digits besides letters has no count
-    known = [pairs.get(f"{a} {b}", 0) for a, b in beside if not re.search(r"\d", a + b)]
     if len(found) == 1 and found[0].isalpha():
-        known = [words.get(found[0], 0)]
-    return bool(known) and n >= ALONE * min(known)
+        yield "word", found[0]
+    for a, b in [x for p in parts for x in zip(p, p[1:])] + [(a[-1], b[0]) for a, b in zip(parts, parts[1:]) if a and b]:
+        if not re.search(r"\d", a + b):  # forms hold 9 for every number, so what has digits besides letters has no count
+            yield "pair", f"{a} {b}"
+
+
+def gather(df: DataFrame, key: str, text: str) -> Iterator[tuple[DataFrame, Evidence]]:
+    """(texts, evidence) by slices, one slice as a rule."""
+    ship(df.sparkSession)
+
+    def count(part: DataFrame) -> DataFrame:
+        return part.select(text).mapInArrow(_counted, _COUNTS).groupBy("kind", "item").agg(F.sum("n").alias("n"))
+
+    counts = cut(count(df))
+    options = cut(_options(counts.where("kind = 'word'")))
+    headers = _headers(counts, df, text)
+    pairs = counts.where("kind = 'pair'").select(F.substring_index("item", " ", 1).alias("a"), F.substring_index("item", " ", -1).alias("b"), "n")
+
+    def needed(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+        """Of the pairs, those beside a word that may be misread, and the same with what it may stand for."""
+        odd = options.select("word", "right")
+        left = asked.join(odd, F.col("b") == F.col("word")).select("a", F.explode(F.array("word", "right")).alias("b"))
+        right = asked.join(odd, F.col("a") == F.col("word")).select(F.explode(F.array("word", "right")).alias("a"), "b")
+        return pairs.join(left.unionByName(right).distinct(), ["a", "b"], "left_semi")
+
+    beside = cut(needed(pairs, pairs))
+    words = counts.where("kind = 'word'").select("item", "n")
+    slices = max(1, math.ceil((beside.count() + words.count() + options.count()) / BOUND))
+    for at in range(slices):
+        part, own_words, own_pairs, own_options = df, words, beside, options
+        if slices > 1:
+            part = df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == at)
+            asked = cut(count(part))
+            own = asked.where("kind = 'word'").select("item")
+            own_options = options.join(own.withColumnRenamed("item", "word"), "word", "left_semi")
+            halves = asked.where("kind = 'half'").select("item")
+            own_words = words.join(own.unionByName(halves).distinct(), "item", "left_semi")
+            own_pairs = needed(pairs, asked.where("kind = 'pair'").select(F.substring_index("item", " ", 1).alias("a"), F.substring_index("item", " ", -1).alias("b")))
+        w, p, o = (x.toArrow() for x in (own_words, own_pairs, own_options))
+        found: dict[str, list] = {}
+        for word, *x in zip(*(o.column(i).to_pylist() for i in range(5))):
+            found.setdefault(word, []).append(tuple(x))
+        yield part, Evidence(dict(zip(w.column(0).to_pylist(), w.column(1).to_pylist())),
+                             {f"{a} {b}": n for a, b, n in zip(*(p.column(i).to_pylist() for i in range(3)))}, headers,
+                             {k: tuple(sorted(v)) for k, v in found.items()})
 
 
 _AROUND = StructType([StructField("line", StringType()), StructField("around", LongType())])
@@ -188,91 +295,121 @@ def _in_different_texts(df: DataFrame, text: str, lines: set[str]) -> set[str]:
 # ---- candidates -------------------------------------------------------------------------------
 
 class Trie:
-    """The vocabulary by letters; search() walks it together with a word's Levenshtein automaton.
+    """The vocabulary by letters, with the largest count below every node; search() intersects it with the Levenshtein
+    automaton of a word.
 
-    The automaton's edits are those of scanning: substitutions, merges and splits of confused shapes. A
-    state is a place in the read word with the edits so far; a branch ends as soon as it has no state."""
+    A state of the automaton is a place in the read word with the edits so far; its steps are a letter that agrees, any letter
+    substituted, inserted or deleted, and the substitutions, merges and splits of confused shapes, each one
+    edit. A branch ends as soon as it has no state left or no word frequent enough."""
 
-    def __init__(self, words):
-        self.root: dict = {}
-        for w in words:
+    def __init__(self, words: dict[str, int]):
+        self.root: dict = {0: 0}
+        for w, n in words.items():
             node = self.root
+            node[0] = max(node[0], n)
             for c in w:
-                node = node.setdefault(c, {})
-            node[""] = w
-
-    def search(self, read: str, most: int) -> dict[str, int]:
-        """Every vocabulary word within ``most`` edits, with the least number of them."""
-        out: dict[str, int] = {}
+                node = node.setdefault(c, {0: 0})
+                node[0] = max(node[0], n)
+            node[""] = (w, n)
+
+    def search(self, read: str, most: int, other: int, floor: int = 0) -> dict[str, tuple[int, int, int]]:
+        """Every vocabulary word seen ``floor`` times or more within ``most`` edits, of which at most ``other`` are no confused
+        shapes: word -> (edits, other edits, count), the fewest other edits first."""
+        out: dict[str, tuple[int, int, int]] = {}
         n = len(read)
         steps = [[(r, a) for r in _READ if read.startswith(r, j) for a in _RIGHT[r]] for j in range(n)]
+        seen: dict[tuple[int, int], list[tuple[int, int]]] = {}
 
-        def walk(node: dict, j: int, edits: int) -> None:
+        def walk(node: dict, j: int, edits: int, odd: int) -> None:
+            if node[0] < floor:
+                return
+            if edits:
+                at = seen.setdefault((id(node), j), [])
+                if any(e <= edits and o <= odd for e, o in at):
+                    return
+                at.append((edits, odd))
             if j == n:
-                if (w := node.get("")) is not None and edits < out.get(w, most + 1):
-                    out[w] = edits
+                if (hit := node.get("")) is not None and hit[1] >= floor and (hit[0] not in out or (odd, edits) < (out[hit[0]][1], out[hit[0]][0])):
+                    out[hit[0]] = (edits, odd, hit[1])
+            elif (below := node.get(read[j])) is not None:
+                walk(below, j + 1, edits, odd)
+            if edits == most:
                 return
-            if (below := node.get(read[j])) is not None:
-                walk(below, j + 1, edits)
-            if edits < most:
+            if j < n:
                 for r, a in steps[j]:
                     below = node
                     for c in a:
                         if (below := below.get(c)) is None:
                             break
                     else:
-                        walk(below, j + len(r), edits + 1)
-
-        walk(self.root, 0, 0)
+                        walk(below, j + len(r), edits + 1, odd)
+            if odd < other:
+                if j < n:
+                    walk(node, j + 1, edits + 1, odd + 1)
+                for c, below in node.items():
+                    if c and c.__class__ is str:
+                        if j < n and c != read[j]:
+                            walk(below, j + 1, edits + 1, odd + 1)
+                        walk(below, j, edits + 1, odd + 1)
+
+        walk(self.root, 0, 0, 0)
         return out
 
 
+def may_stand_for(trie: Trie, word: str, own: int) -> list[tuple[str, int, int, int]]:
+    """(word it may stand for, count, edits, other edits) of a word seen ``own`` times; none if it is sound."""
+    odd = not re.fullmatch(rf"{LETTERS}+", word)
+    letters = sum(c.isalpha() for c in word)
+    if len(word) < 2 or odd and (letters < max(1, len(word) - 3) or letters * 2 < len(word)):
+        return []
+    floor = RATIO * max(own, 1)
+    # the shape of a digit or sign says what it stands for, other edits are for letters
+    for other in (0,) if odd or len(word) < 4 else (1, OTHER_EDITS) if len(word) >= LONG_WORD else (1,):
+        # at most one edit per three letters, or per two where digits or signs give them away
+        found = [(w, n, edits, o) for w, (edits, o, n) in trie.search(word, MOST_EDITS, other, floor).items()
+                 if w != word and edits <= max(1.0, len(w) / (2 if odd else 3))]
+        if found or own > 1:
+            break
+    return found
+
+
 class Repairer:
     def __init__(self, evidence: Evidence):
-        self.words, self.pairs, self.headers = evidence.words, evidence.pairs, evidence.headers
-        # a word seen less often than RATIO times is RATIO times as frequent as none
-        self.trie = Trie(w for w, n in self.words.items() if n >= RATIO and re.fullmatch(rf"{LETTERS}+", w))
-        self.candidates = lru_cache(200_000)(self._candidates)
+        self.words, self.pairs, self.headers, self.options = evidence.words, evidence.pairs, evidence.headers, evidence.options
         self.sound: set[str] = set()
 
     # -- words
-    def _candidates(self, word: str) -> tuple[tuple[str, float], ...]:
-        """(word it may stand for, score) of a suspicious word; none if it is sound."""
-        own = self.words.get(word, 0)
-        odd = not re.fullmatch(rf"{LETTERS}+", word)
-        if odd and (sum(c.isalpha() for c in word) < max(1, len(word) - 3) or sum(c.isalpha() for c in word) * 2 < len(word)):
-            return ()
-        if len(word) < (2 if odd else 4):
-            return ()
-        out = []
-        for w, edits in self.trie.search(word, MOST_EDITS).items():
-            # at most one confused shape per three letters, or per two where digits or signs give them away
-            if w != word and self.words[w] >= RATIO * max(own, 1) and edits <= max(1.0, len(w) / (2 if odd else 3)):
-                out.append((w, math.log(self.words[w]) - 3 * edits))
-        return tuple(sorted(out, key=lambda x: (-x[1], x[0])))
+    def candidates(self, word: str) -> tuple[tuple[str, int, int, int], ...]:
+        """(word it may stand for, count, edits, other edits) of a suspicious word; none if it is sound."""
+        return self.options.get(word, ())
 
     def best(self, word: str, before: str, after: str) -> str | None:
         """What a word should read, by frequency, shape and its neighbours; None if it is sound."""
         options = self.candidates(word)
-        if not options:
-            return None
-        scored = [(s + 2 * math.log1p(self.pairs.get(f"{before} {w}", 0)) + 2 * math.log1p(self.pairs.get(f"{w} {after}", 0)), w) for w, s in options]
-        top = max(scored, key=lambda x: (x[0], x[1]))
         own = self.words.get(word, 0) - 1  # besides this occurrence, as with its neighbours
+        scored = []
+        for w, n, edits, other in options:
+            left, right = self.pairs.get(f"{before} {w}", 0), self.pairs.get(f"{w} {after}", 0)
+            # short words and other edits than confused shapes: only a word seen nowhere else, both neighbours for the other
+            if (other or len(word) < 4 and word.isalpha()) and (own > 0 or left < RATIO or right < RATIO):
+                continue
+            scored.append((math.log(n) - 3 * edits - 3 * other + 2 * math.log1p(left) + 2 * math.log1p(right), w, n))
+        if not scored:
+            return None
+        top = max(scored)
         if own > 0:  # a word seen elsewhere: only where its neighbours speak against it
             beside = [max(self.pairs.get(p, 0) - 1, 0) for p in (f"{before} {word}", f"{word} {after}")]
             here = math.log(own) + 2 * math.log1p(beside[0]) + 2 * math.log1p(beside[1])
-            if top[0] + 3 < here + 3 * (own >= self.words[top[1]] / 20):
+            if top[0] + 3 < here + 3 * (own >= top[2] / 20):
                 return None
         return top[1]
 
     def known(self, word: str) -> int:
-        """How often a word occurs, or the word it is a misreading of."""
+        """How often a word occurs, or the word it is a misreading of by confused shapes."""
         n = self.words.get(word, 0)
         if n:
             return n
-        options = self.candidates(word)
-        return self.words[options[0][0]] // 4 if options else 0
+        return max((n for _, n, _, other in self.candidates(word) if not other), default=0) // 4
 
     # -- broken words
     def joins(self, left: str, mark: str, right: str, at_line_end: bool) -> bool:
@@ -381,20 +518,23 @@ _repairers: dict[int, Repairer] = {}
 
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, repaired, damage): every row's readable text and the kinds of damage found in it."""
-    evidence = gather(df, text)
     source = df.select(key, text)
-    shared = df.sparkSession.sparkContext.broadcast((evidence.words, evidence.pairs, evidence.headers))
     schema = StructType([source.schema[key], StructField("repaired", StringType()), StructField("damage", ArrayType(StringType()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine = shared.id if hasattr(shared, "id") else id(shared)
-        if mine not in _repairers:
-            _repairers.clear()
-            _repairers[mine] = Repairer(Evidence(*shared.value))
-        fix = _repairers[mine].repair
-        for batch in batches:
-            done = [fix(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()),
-                                              pa.array([d[1] for d in done], pa.list_(pa.string()))], names=schema.names)
-
-    return source.mapInArrow(run, schema)
+    out = None
+    for part, evidence in gather(source, key, text):
+        shared = df.sparkSession.sparkContext.broadcast((evidence.words, evidence.pairs, evidence.headers, evidence.options))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            mine = shared.id if hasattr(shared, "id") else id(shared)
+            if mine not in _repairers:
+                _repairers.clear()
+                _repairers[mine] = Repairer(Evidence(*shared.value))
+            fix = _repairers[mine].repair
+            for batch in batches:
+                done = [fix(t) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()),
+                                                  pa.array([d[1] for d in done], pa.list_(pa.string()))], names=schema.names)
+
+        done = part.mapInArrow(run, schema)
+        out = done if out is None else out.unionByName(done)
+    return out
