@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from casetrail.llm.fold import fold
-from casetrail.session import cut, ship
+from casetrail.session import cut, ship, spread
 
 #: A half of a word is a word of its own if it occurs so often.
 MIN_COUNT = 4
@@ -48,7 +48,7 @@ BOUND = 5_000_000
 HYPHENS = "-‐‑¬­"
 LETTERS = r"[^\W\d_]"
 #: A word as scanned: letters and what letters are misread as.
-TOKEN = re.compile(r"(?:(?<![\w!])[@!|$](?=[^\W\d_]))?[^\W_]+(?:[@!|$€¢](?=[^\W\d_])[^\W_]+|[@$](?!\w)|[!|](?=\s[a-z]))*")
+TOKEN = re.compile(r"(?:(?<![\w!])[@!|$](?=[^\W\d_]))?[^\W_]+(?:[@!|$€¢+](?=[^\W\d_])[^\W_]+|[@$+](?!\w)|[!|](?=\s[a-z]))*")
 LABEL = re.compile(r"^\W*(?:fig(?:ure)?|image|plate|table)\b\.?\s*(?:\d+\s?[a-z]?)?\s*[.:]?\W*$", re.I)
 PAGE = re.compile(r"^\W*(?:p(?:age|p|g)?\.?\s*)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?\W*$", re.I)
 # Shapes that scanning confuses, right and read.
@@ -56,7 +56,7 @@ CONFUSED = (("i", "1"), ("l", "1"), ("i", "!"), ("l", "!"), ("l", "|"), ("i", "|
             ("b", "6"), ("b", "8"), ("z", "2"), ("e", "c"), ("c", "e"), ("m", "rn"), ("rn", "m"), ("n", "ri"), ("h", "li"), ("d", "cl"),
             ("cl", "d"), ("w", "vv"), ("u", "ii"), ("n", "u"), ("u", "n"), ("i", "l"), ("l", "i"), ("f", "t"), ("t", "f"), ("y", "v"), ("v", "y"),
             ("li", "h"), ("ri", "n"), ("o", "c"), ("a", "o"), ("o", "a"), ("e", "o"), ("h", "b"), ("b", "h"), ("m", "nn"), ("k", "lc"), ("g", "q"),
-            ("q", "g"), ("t", "l"), ("l", "t"), ("i", "j"), ("e", "6"), ("t", "7"), ("a", "4"), ("e", "€"), ("c", "¢"))
+            ("q", "g"), ("t", "l"), ("l", "t"), ("i", "j"), ("e", "6"), ("t", "7"), ("a", "4"), ("e", "€"), ("c", "¢"), ("t", "+"))
 _READ = sorted({r for _, r in CONFUSED}, key=len, reverse=True)
 _RIGHT: dict[str, list[str]] = {}
 for _a, _b in CONFUSED:
@@ -89,35 +89,34 @@ def _words_of_piece(piece: str) -> tuple[list[str], list[str]]:
     return tokens(plain), [x.lower() for x in COMPOUND.findall(plain)] if "-" in plain else []
 
 
-HALF = re.compile(rf"({LETTERS}[\w@!|$]*)[{HYPHENS}](\s*)(?=[\w@!|$])")
+BROKEN = re.compile(rf"[{HYPHENS}]\s")
 
 
 def _may_meet(text: str) -> Iterator[tuple[str, str]]:
     """Words and neighbours that stand together once a line between them goes or halves are joined."""
-    lines = [x for x in split_lines(fold(text.replace("\xad", "¬"))) if x.strip()]
-    found = [tokens(x) for x in lines]
-    for i, left in enumerate(found):
-        for j in (i, i + 1, i + 2):
-            if j == i or j >= len(found) or not left or not found[j]:
-                continue
-            yield "pair", f"{left[-1]} {found[j][0]}"
-            if lines[i].rstrip()[-1] in HYPHENS:
-                whole = left[-1] + found[j][0]
-                yield "word", whole
-                if len(left) > 1:
-                    yield "pair", f"{left[-2]} {whole}"
-                if len(found[j]) > 1:
-                    yield "pair", f"{whole} {found[j][1]}"
-    for x in lines:
-        for m in HALF.finditer(x):
-            before, after = tokens(x[:m.start(1)]), tokens(x[m.end():])
-            if after and (half := tokens(m[1])):
-                whole = half[-1] + after[0]
-                yield "word", whole
-                if before:
-                    yield "pair", f"{before[-1]} {whole}"
-                if len(after) > 1:
-                    yield "pair", f"{whole} {after[1]}"
+    lines = [p for x in split_lines(text.replace("\xad", "¬")) if (p := x.split())]
+    pairs = [(left[-2:], right[:2]) for k in (1, 2) for left, right in zip(lines, lines[k:])]
+    pairs += [(p[max(0, i - 1):i + 1], p[i + 1:i + 3]) for p in lines for i, x in enumerate(p[:-1]) if x[-1] in HYPHENS]
+    for before, after in pairs:
+        left, right = tokens(fold(" ".join(before))), tokens(fold(" ".join(after)))
+        if not left or not right:
+            continue
+        yield "pair", f"{left[-1]} {right[0]}"
+        if before[-1][-1] in HYPHENS:
+            whole = left[-1] + right[0]
+            yield "word", whole
+            if len(left) > 1:
+                yield "pair", f"{left[-2]} {whole}"
+            if len(right) > 1:
+                yield "pair", f"{whole} {right[1]}"
+
+
+def _joined(piece: str) -> Iterator[str]:
+    """Neighbouring parts of a piece with hyphens, joined."""
+    parts = [tokens(fold(x)) for x in re.split(rf"[{HYPHENS}]", piece)]
+    for a, b in zip(parts, parts[1:]):
+        if a and b:
+            yield a[-1] + b[0]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,6 +131,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 word[w] += n
             for w in map(" ".join, zip(found, found[1:])):
                 beside[w] += n
+            if len(found) > 1:
+                for w in _joined(p):
+                    word[w] += 0
         for (a, b), n in pair.items():
             left, right = parts[a][0], parts[b][0]
             if left and right:
@@ -151,9 +153,9 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if "\n" in text or "\r" in text:
                 line.update(f for x in split_lines(text) if x.strip() and (f := line_form(x)) and not LABEL.match(x))
-                asked.update(x for x in _may_meet(text))
-            elif HALF.search(text):
-                asked.update(x for x in _may_meet(text))
+                asked.update(_may_meet(text))
+            elif BROKEN.search(text):
+                asked.update(_may_meet(text))
             pieces = text.split()
             piece.update(pieces)
             pair.update(zip(pieces, pieces[1:]))
@@ -255,8 +257,7 @@ def gather(df: DataFrame, key: str, text: str) -> Iterator[tuple[DataFrame, Evid
             asked = cut(count(part))
             own = asked.where("kind = 'word'").select("item")
             own_options = options.join(own.withColumnRenamed("item", "word"), "word", "left_semi")
-            halves = asked.where("kind = 'half'").select("item")
-            own_words = words.join(own.unionByName(halves).distinct(), "item", "left_semi")
+            own_words = words.join(own, "item", "left_semi")
             own_pairs = needed(pairs, asked.where("kind = 'pair'").select(F.substring_index("item", " ", 1).alias("a"), F.substring_index("item", " ", -1).alias("b")))
         w, p, o = (x.toArrow() for x in (own_words, own_pairs, own_options))
         found: dict[str, list] = {}
@@ -469,8 +470,8 @@ class Repairer:
         # halves at line ends
         out = body[0] if body else ""
         for x in body[1:]:
-            m = re.search(rf"({LETTERS}[\w@!|$]*)([{HYPHENS}])\s*$", out)
-            n = re.match(rf"\s*([\w@!|$]+)", x)
+            m = re.search(rf"({LETTERS}[\w@!|$+]*)([{HYPHENS}])\s*$", out)
+            n = re.match(rf"\s*([\w@!|$+]+)", x)
             if m and n and not n[1].isdigit():
                 left, right = fold(m[1]), fold(n[1])
                 joined = self.joins(left, m[2], right, True)
@@ -518,7 +519,7 @@ _repairers: dict[int, Repairer] = {}
 
 def repair(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, repaired, damage): every row's readable text and the kinds of damage found in it."""
-    source = df.select(key, text)
+    source = spread(df.select(key, text))
     schema = StructType([source.schema[key], StructField("repaired", StringType()), StructField("damage", ArrayType(StringType()))])
     out = None
     for part, evidence in gather(source, key, text):

@@ -55,13 +55,36 @@ def test_p3_repair(spark):
 def test_p3_trie_against_brute_force():
     r = random.Random(2)
     vocabulary = {"".join(r.choice("climnorh") for _ in range(r.randint(2, 5))) for _ in range(200)}
-    trie = scanned.Trie(vocabulary)
+    trie = scanned.Trie(dict.fromkeys(vocabulary, 9))
     for w in sorted(vocabulary)[:60]:
         for a, b in scanned.CONFUSED:
             at = w.find(a)
             if at >= 0:
-                assert trie.search(w[:at] + b + w[at + len(a):], 1).get(w, 9) <= 1
-        assert trie.search(w, 0) == {w: 0}
+                assert trie.search(w[:at] + b + w[at + len(a):], 1, 0)[w][0] <= 1
+        assert trie.search(w, 0, 0) == {w: (0, 0, 9)}
+
+
+def test_p3_automaton_gives_every_word_within_the_distance():
+    """Any letter put in, left out or changed: the trie's answer equals the edit distance to every word."""
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    r = random.Random(12)
+    vocabulary = {"".join(r.choice("xyzpqr") for _ in range(r.randint(2, 7))): r.randint(1, 50) for _ in range(400)}  # no confused shapes
+    trie = scanned.Trie(vocabulary)
+    for _ in range(60):
+        w = "".join(r.choice("xyzpqrs") for _ in range(r.randint(2, 7)))
+        for most, floor in ((1, 0), (2, 0), (2, 25)):
+            want = {v: distance(w, v) for v, n in vocabulary.items() if n >= floor and distance(w, v) <= most}
+            got = trie.search(w, most, most, floor)
+            assert {v: x[0] for v, x in got.items() if x[0] == x[1]} == {v: d for v, d in want.items() if got[v][0] == got[v][1]} and set(want) <= set(got)
+    one = scanned.Trie({"biopsy": 9})
+    assert all("biopsy" in one.search(w, 3, 1) for w in ("bxopsy", "bopsy", "biopsyy", "b1opsy", "bi0psv"))
 
 
 def test_p3_headers_of_many_journals(spark):
