@@ -36,6 +36,8 @@ HIGH_TRIGGERS = (
 )
 PASSIVE = r"((?:[A-Za-z][\w'\-]*\s+){0,3}[A-Za-z][\w'\-]*)\s+(?:was|were)\s+(?:initially|first)\s+diagnosed\b"
 MASQUERADE = r"([\w][\w\s'\-]{3,50}?)\s+(?:masquerad\w*|mimick\w*)\s+as\s+(?:SLE|systemic lupus|lupus erythematosus|lupus)"
+#: Cheap tests without which a pattern cannot be found; the two patterns have no fixed beginning and try every place.
+NEEDS = {PASSIVE: r"(?:was|were)\s+(?:initially|first)\s+diagnosed", MASQUERADE: r"masquerad|mimick"}
 MEDIUM_TRIGGERS = (
     r"initially\s+(?:treated|managed)\s+(?:as|for)\s+",
     r"thought\s+to\s+have\s+",
@@ -101,7 +103,13 @@ def is_target(entity: Column, disease: Column, rules: Rules = DEFAULT) -> Column
 
 
 def _tier(text: Column, disease: Column, patterns: list[str], rules: Rules) -> Column:
-    raw = F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1)) for p in patterns]))
+    def found(p: str) -> Column:
+        all_of_it = F.regexp_extract_all(text, F.lit("(?iU)" + p), F.lit(1))
+        if p not in NEEDS:
+            return all_of_it
+        return F.when(F.rlike(text, F.lit("(?iU)" + NEEDS[p])), all_of_it).otherwise(F.array().cast("array<string>"))
+
+    raw = F.flatten(F.array(*map(found, patterns)))
     cleaned = F.filter(F.transform(raw, clean_entity), lambda e: e.isNotNull())
     return F.array_distinct(F.filter(cleaned, lambda e: ~is_target(e, disease, rules)))
 
@@ -126,8 +134,9 @@ def lexicon_entities(text: Column, disease: Column, rules: Rules = DEFAULT) -> C
     """Terms found whole in a sentence that itself holds a signal word, in sentence then term order."""
     terms = F.array(*[F.struct(F.lit(t.lower()).alias("term"), F.lit(rf"(?iU)\b\Q{t}\E\b").alias("pattern"))
                       for t in rules.lexicon])
+    any_term = rf"(?iU)\b(?:{_any(rf'{chr(92)}Q{t}{chr(92)}E' for t in rules.lexicon)})\b"  # once a sentence, before each by itself
     hits = F.flatten(F.transform(
-        F.filter(sentences(text), lambda s: has_signal(s, rules)),
+        F.filter(sentences(text), lambda s: has_signal(s, rules) & F.rlike(s, F.lit(any_term))),
         lambda s: F.transform(F.filter(terms, lambda t: F.rlike(s, t["pattern"])), lambda t: t["term"])))
     return F.array_distinct(F.filter(hits, lambda e: ~is_target(e, disease, rules)))
 
@@ -163,10 +172,25 @@ def apply_extraction(df, rules: Rules = DEFAULT):
             .drop("_x"))
 
 
+#: Ages are no delays. A delay is a length of time that words of delay, or of the way to the diagnosis, stand beside.
+AGES = r"(?i)\bage[ds]?(?:\s+of)?\s+[0-9]+\s+(?:day|week|month|year)s?|\b[0-9]+[\s-]+(?:day|week|month|year)s?[\s-]+old"
+_SPAN = r"([0-9]+)[\s-]+(day|week|month|year)s?"
+DELAYS = (
+    rf"(?i)\b(?:delay\w*|lag)\s+(?:of|by|was|for)\s+(?:about\s+|nearly\s+|over\s+|some\s+)?{_SPAN}\b",
+    rf"(?i)\b{_SPAN}\s+(?:of\s+[^.!?]{{1,40}}\s+)?(?:before|prior\s+to|until|elapsed)\b[^.!?]{{0,40}}\bdiagnos",
+    rf"(?i)\bdiagnos\w*\s[^.!?]{{0,40}}\b(?:after|following)\s+(?:about\s+|nearly\s+|over\s+|some\s+)?{_SPAN}\b",
+    rf"(?i)\bafter\s+(?:about\s+|nearly\s+|over\s+|some\s+)?{_SPAN}\b[^.!?]{{0,40}}\bdiagnos",
+)
+
+
 def diagnostic_delay(text: Column) -> Column:
-    """The first stated delay before the diagnosis, in days; null where none is stated."""
-    p = r"(?iU)\b([0-9]+)\s+(day|week|month|year)s?\b"
-    n = F.regexp_extract(text, p, 1)
-    unit = F.lower(F.regexp_extract(text, p, 2))
-    days = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)
-    return F.when(n != "", n.try_cast("bigint") * days)
+    """The stated delay of the diagnosis in days, by the first of DELAYS that is found; null where none is stated.
+    Other lengths of time, and ages, are no delays."""
+    plain = F.regexp_replace(text, AGES, " ")
+
+    def days(p: str) -> Column:
+        n, unit = F.regexp_extract(plain, p, 1), F.lower(F.regexp_extract(plain, p, 2))
+        length = F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30).when(unit == "year", 365)
+        return F.when(n != "", n.try_cast("bigint") * length)
+
+    return F.coalesce(*map(days, DELAYS))

@@ -41,3 +41,15 @@ def merge_records(cases: DataFrame, figures: DataFrame, key: str, case_order: li
 def summary(merged: DataFrame, key: str) -> DataFrame:
     return merged.select(key, "disease", F.col("case_report").isNotNull().alias("has_case_report"),
                          F.coalesce(F.size("figures"), F.lit(0)).alias("n_figures"))
+
+
+def merged_summary(cases: DataFrame, figures: DataFrame, key: str, case_order: list[str], figure_order: list[str]) -> DataFrame:
+    """What summary() gives of the merged records, and their first figure, without building the lists: figures are
+    counted before the shuffle, so an article with any number of them sends one row per map task."""
+    c = last_wins(cases.where(F.col(key).isNotNull()), key, *case_order).select(key, F.struct("disease").alias("_case"))
+    order = F.struct(*[F.col(x) for x in figure_order])
+    f = (figures.where(F.col(key).isNotNull()).groupBy(key)
+         .agg(F.count("*").cast("int").alias("_n"), F.min_by(F.struct(*[F.col(x) for x in figures.columns if x != key]), order).alias("first")))
+    disease = F.when(F.col("_case").isNotNull(), F.col("_case.disease")).otherwise(F.col("first.disease"))
+    return c.join(f, key, "full").select(key, F.coalesce(disease, F.lit("")).alias("disease"), F.col("_case").isNotNull().alias("has_case_report"),
+                                         F.coalesce("_n", F.lit(0)).alias("n_figures"), "first")

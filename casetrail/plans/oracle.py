@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from casetrail.functions import extraction as X
 from casetrail.functions.extraction import SIGNALS
 from casetrail.functions.figures import CLASS_PATTERNS
 from casetrail.functions.keys import ARTICLE_KEY_SQL
@@ -47,16 +48,79 @@ def _ratio(a: str, b: str) -> str:
 
 _COSINE = "list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
 
+_DELAYS = [f"try_cast(nullif(regexp_extract(plain, '{p}', 1), '') AS BIGINT) * CASE lower(regexp_extract(plain, '{p}', 2)) "
+           "WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'year' THEN 365 END" for p in X.DELAYS]
+
+# The tier cascade in the oracle's dialect: no lookahead, so what ends an entity is consumed, and no Unicode classes by default.
+_C = r"\pL\pM\p{Nd}\p{Nl}\p{Pc}\x{200C}\x{200D}"
+_S = r"[\s\x0b\x{85}\pZ]"
+
+
+def _re(pattern: str) -> str:
+    """A fixed pattern with letters and blanks in the Unicode sense, quoted for SQL."""
+    inside = pattern.replace(r"[\w][\w\s'\-]", rf"[{_C}][{_C}\s\x0b\x{{85}}\pZ'\-]").replace(r"[\w'\-]", rf"[{_C}'\-]").replace(r"\w*", rf"[{_C}]*").replace(r"\s+", _S + "+")
+    return "(?i)" + inside.replace("'", "''")
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return "|".join(words)
+
+
+_STOP = rf"(?:[,;.!?(]|\s+(?:{_words(X.STOP_WORDS)})\b|$)"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace(regexp_replace({x}, '^{_S}+', ''), '{_S}+$', '')"
+
+
+_FILLER = f"(?i)(?:{_S}*\\b(?:{_words(X.FILLER_WORDS)})\\b{_S}*){{1,5}}$"
+
+
+def _tier_sql(patterns: list[str]) -> str:
+    """Entities of a tier, in order of pattern and place, each once."""
+    raw = " || ".join(f"regexp_extract_all(abstract, '{_re(p)}', 1)" for p in patterns)
+    bare = _strip(f"regexp_replace({_strip('x')}, '{_FILLER}', '')")
+    known = f"""list_filter(list_transform({raw}, lambda x: {bare}), lambda e: len(e) BETWEEN 4 AND 80
+        AND NOT regexp_matches(e, '(?i)^(?:{_words(X.NOISE_STARTS)})(?:[^{_C}]|$)') AND NOT regexp_matches(e, '(?i)(?:^|[^{_C}])(?:{_words(X.PERSON_WORDS)})(?:[^{_C}]|$)'))"""
+    return f"list_filter(list_transform({known}, lambda e: trim(lower(e), ' .,;-')), lambda e: e <> '')"
+
+
+def _once(entities: str) -> str:
+    """Without the target diseases, and each once."""
+    return f"""list_filter({entities}, lambda e: NOT (regexp_matches(e, '(?i)(?:^|[^{_C}])(?:{_words(X.TARGET_TERMS)})(?:[^{_C}]|$)') OR coalesce(
+        regexp_matches(e, CASE WHEN disease = '' THEN '\\b' ELSE '(?i)(?:^|[^{_C}])' || regexp_escape(replace(lower(disease), '_', ' ')) || '(?:[^{_C}]|$)' END), false)))"""
+
+
+_TERMS = "[" + ", ".join("'" + t.lower().replace("'", "''") + "'" for t in X.LEXICON) + "]"
+_HITS = f"""flatten(list_transform(list_filter(string_split(regexp_replace(abstract, '([.!?]){_S}+', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(s, '(?i){'|'.join(SIGNALS)}')),
+        lambda s: list_filter({_TERMS}, lambda t: regexp_matches(s, '(?i)(?:^|[^{_C}])' || regexp_escape(t) || '(?:[^{_C}]|$)'))))"""
+_HIGH = _tier_sql([t + X.ENTITY + _STOP for t in X.HIGH_TRIGGERS] + [X.PASSIVE, X.MASQUERADE])
+_MEDIUM = _tier_sql([t + X.ENTITY + _STOP for t in X.MEDIUM_TRIGGERS])
+_FIRST = "list_filter({0}, lambda e, i: list_position({0}, e) = i)"
+_EXTRACTED = f"""
+    WITH r AS (SELECT report_id, disease, abstract, misdiagnosis_sequence FROM case_reports WHERE len(coalesce(abstract, '')) >= {X.SHORTEST_TEXT}),
+    f AS (SELECT *, {_once(_HIGH)} AS high, {_once(_MEDIUM)} AS medium, regexp_matches(abstract, '(?i){'|'.join(SIGNALS)}') AS signal,
+          CASE WHEN signal THEN {_once(_HITS)} ELSE [] END AS lexicon FROM r),
+    l AS (SELECT *, CASE WHEN len(high) > 0 THEN 'high' WHEN len(medium) > 0 THEN 'medium' WHEN NOT signal THEN 'none' WHEN len(lexicon) > 0 THEN 'gazetteer' ELSE 'signal_only' END AS level FROM f),
+    e AS (SELECT report_id, misdiagnosis_sequence, level, CASE level WHEN 'high' THEN {_FIRST.format('high')} WHEN 'medium' THEN {_FIRST.format('medium')}
+                 WHEN 'gazetteer' THEN {_FIRST.format('lexicon')} ELSE [] END AS found FROM l)
+    SELECT report_id, level AS evidence_level, CASE WHEN len(found) > 0 THEN found ELSE misdiagnosis_sequence END AS sequence FROM e
+    UNION ALL SELECT report_id, 'no_abstract', misdiagnosis_sequence FROM case_reports WHERE len(coalesce(abstract, '')) < {X.SHORTEST_TEXT}"""
+
 ORACLE = {
     "signal_by_disease": f"""
         SELECT disease, is_total, n, n_flagged, n_flagged::DOUBLE / n AS share FROM (
           SELECT disease, grouping(disease)::INTEGER AS is_total, count(*) AS n, count(*) FILTER ({_SIGNAL}) AS n_flagged
-          FROM case_reports WHERE disease IS NOT NULL GROUP BY ROLLUP (disease))""",
-    "diagnostic_delays": r"""
-        SELECT report_id, delay_days FROM (
-          SELECT report_id, try_cast(nullif(regexp_extract(abstract, p, 1, 'i'), '') AS BIGINT) * CASE lower(regexp_extract(abstract, p, 2, 'i'))
-            WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 WHEN 'year' THEN 365 END AS delay_days
-          FROM case_reports, (SELECT '\b([0-9]+)\s+(day|week|month|year)s?\b' AS p)) WHERE delay_days IS NOT NULL""",
+          FROM case_reports GROUP BY ROLLUP (disease))""",
+    "diagnostic_delays": f"""
+        SELECT report_id, delay_days FROM (SELECT report_id, coalesce({', '.join(_DELAYS)}) AS delay_days
+          FROM (SELECT report_id, regexp_replace(abstract, '{X.AGES}', ' ', 'g') AS plain FROM case_reports)) WHERE delay_days IS NOT NULL""",
+    "extract_levels": f"SELECT report_id, evidence_level, array_to_string(sequence, ' | ') AS sequence FROM ({_EXTRACTED})",
+    "signal_only_reports": f"SELECT report_id FROM ({_EXTRACTED}) WHERE evidence_level = 'signal_only'",
+    "extract_summary": f"""
+        SELECT *, n_high + n_medium + n_gazetteer AS populated, coalesce(100 * (n_none::DOUBLE / nullif(total::DOUBLE, 0)), 0.0) AS no_signal_pct
+        FROM (SELECT count(*) AS total, {', '.join(f"count(*) FILTER (evidence_level = '{b}') AS n_{b}" for b in ('high', 'medium', 'gazetteer', 'signal_only', 'none', 'no_abstract'))}
+              FROM ({_EXTRACTED}))""",
     "caption_classes": f"SELECT figure_id, CASE {_CLASS} ELSE 'other' END AS class FROM extracted_figures",
     "figures_by_type": """
         SELECT disease, type, grouping_id(disease, type)::INTEGER AS level, count(*) AS n
@@ -123,11 +187,12 @@ ORACLE = {
     "keyword_search": f"""{_BM} SELECT report_id, round({_bm('a', 'da')} + {_bm('b', 'db')} + {_bm('c', 'dc')}, 6) AS score FROM t, s WHERE a + b + c > 0""",
     "phenotype_map": """
         SELECT map_id, disease, term_id, phenotype_category FROM hpo_mapping_table JOIN hpo_terms ON hpo_term = term_name""",
-    "invalid_records": """
-        SELECT report_id, CASE report_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'abstract:missing' WHEN 2 THEN 'pubmed_id:wrong_type' WHEN 3 THEN ':invalid_json'
-          ELSE ':not_an_object' END AS errors
-        FROM case_reports WHERE pubmed_id IS NOT NULL AND disease IS NOT NULL AND title IS NOT NULL AND abstract IS NOT NULL
-          AND misdiagnosis_sequence IS NOT NULL AND extracted_at IS NOT NULL""",
+    "invalid_records": f"""
+        SELECT report_id, concat_ws(',', {', '.join(f"CASE WHEN {f} IS NULL THEN '{f}:null' END" for f in ('pubmed_id', 'disease', 'title', 'abstract'))},
+          CASE WHEN misdiagnosis_sequence IS NULL THEN 'misdiagnosis_sequence:null'
+               WHEN len(misdiagnosis_sequence) > 0 AND len(list_filter(misdiagnosis_sequence, lambda x: x IS NULL)) = len(misdiagnosis_sequence) THEN 'misdiagnosis_sequence:wrong_type' END,
+          CASE WHEN extracted_at IS NULL THEN 'extracted_at:null' END) AS errors
+        FROM case_reports""",
     "p5_found": f"SELECT table_name, row_id FROM ({_ORPHANS})",
     "p5_counts": f"""
         SELECT table_name, coalesce(strftime(loaded_at, '%Y-%m'), 'unknown') AS month, count(*) AS n_orphans FROM ({_ORPHANS}) GROUP BY ALL""",

@@ -8,7 +8,7 @@ from casetrail.functions import extraction, figures
 from casetrail.functions.keys import article_key
 from casetrail.functions.scalar import base_name, file_stem_id, version_number
 from casetrail.operators import evaluate, merge, orphans, overlay, packed, quality, report, search
-from casetrail.session import table
+from casetrail.session import spread, table
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,14 +43,23 @@ def _figures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "extracted_figures").withColumn("article", article_key("pubmed_id"))
 
 
+def _abstracts(spark: SparkSession, sf: str) -> DataFrame:
+    return spread(table(spark, sf, "case_reports").select("report_id", "disease", "abstract", "misdiagnosis_sequence"))
+
+
 def extract_levels(spark: SparkSession, sf: str) -> DataFrame:
     """The tier cascade over every report, with what it leaves in the sequence."""
-    return extraction.apply_extraction(table(spark, sf, "case_reports")).select(
+    return extraction.apply_extraction(_abstracts(spark, sf)).select(
         "report_id", "evidence_level", F.array_join("misdiagnosis_sequence", " | ").alias("sequence"))
 
 
 def extract_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return report.level_counts(extraction.apply_extraction(table(spark, sf, "case_reports")))
+    return report.level_counts(extraction.apply_extraction(_abstracts(spark, sf)))
+
+
+def signal_only_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """Reports with a signal but no entity, for review."""
+    return extraction.apply_extraction(_abstracts(spark, sf)).where("evidence_level = 'signal_only'").select("report_id")
 
 
 def signal_by_disease(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,10 +87,10 @@ def last_reports(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged_summary(spark: SparkSession, sf: str) -> DataFrame:
     """One row per article, with or without a report, and its figures in order."""
-    c = _reports(spark, sf).select("article", "report_id", "disease", "title", "abstract", "misdiagnosis_sequence", "extracted_at")
-    f = _figures(spark, sf).select("article", "figure_index", "figure_id", "disease", "figure_type", "caption")
-    m = merge.merge_records(c, f, "article", ["report_id"], ["figure_index", "figure_id"])
-    return merge.summary(m, "article").join(m.select("article", F.coalesce(F.try_element_at("figures", F.lit(1))["figure_id"], F.lit(-1).cast("long")).alias("first_figure")), "article")
+    c = _reports(spark, sf).select("article", "report_id", "disease")
+    f = _figures(spark, sf).select("article", "figure_index", "figure_id", "disease")
+    return merge.merged_summary(c, f, "article", ["report_id"], ["figure_index", "figure_id"]).select(
+        "article", "disease", "has_case_report", "n_figures", F.coalesce("first.figure_id", F.lit(-1).cast("long")).alias("first_figure"))
 
 
 def label_confusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -182,6 +191,6 @@ def invalid_records(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    extract_levels, extract_summary, signal_by_disease, diagnostic_delays, caption_classes, figures_by_type, last_reports, merged_summary,
+    extract_levels, extract_summary, signal_only_reports, signal_by_disease, diagnostic_delays, caption_classes, figures_by_type, last_reports, merged_summary,
     label_confusion, wrong_diagnosis_edges, diagnosis_trails, sequence_items, topics_by_disease, file_ids, newest_versions, annotated_figures,
     unlabelled_reports, zero_shot_types, nearest_vectors, nearest_vectors_of_queries, keyword_search, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}

@@ -63,8 +63,13 @@ def rewrite_jsonl(spark: SparkSession, path: str, schema: StructType, change, dr
     jvm = spark.sparkContext._jvm
     old_path, new_path = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(new)
     fs = old_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old_path, True)
-    fs.rename(new_path, old_path)
+    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
+    fs.delete(aside, True)
+    # at every moment one whole version is there, under its name or beside it
+    for source, target in ((old_path, aside), (new_path, old_path)):
+        if not fs.rename(source, target):
+            raise OSError(f"{source} could not be renamed to {target}")
+    fs.delete(aside, True)
     return read_jsonl(spark, path, schema)
 
 
@@ -89,8 +94,8 @@ def search_rows(landed: DataFrame, disease: str) -> DataFrame:
 
 
 def resolve_ids(records: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Adds pmc_id from a landed crosswalk (pubmed_id, pmc_number); null where there is none."""
-    first = crosswalk.groupBy("pubmed_id").agg(F.min("pmc_number").alias("_n"))
+    """Adds pmc_id from a landed crosswalk (pubmed_id, link_no, pmc_number), by the first link; null where there is none."""
+    first = crosswalk.groupBy("pubmed_id").agg(F.min_by("pmc_number", "link_no").alias("_n"))
     return records.join(first, "pubmed_id", "left").withColumn("pmc_id", F.concat(F.lit("PMC"), F.col("_n"))).drop("_n")
 
 
@@ -113,9 +118,9 @@ def figures_of_xml(xml: str | None) -> list[tuple[str, str, str]]:
         return []
     out = []
     for fig in (e for e in root.iter() if _local(e.tag) == "fig"):
-        label = next((("".join(e.itertext())).strip() for e in fig if _local(e.tag) == "label"), "")
+        label = next(((e.text or "").strip() for e in fig if _local(e.tag) == "label"), "")
         caption = next((e for e in fig if _local(e.tag) == "caption"), None)
-        parts = [] if caption is None else ["".join(c.itertext()).strip() for c in caption] or ["".join(caption.itertext())]
+        parts = [] if caption is None else ["".join(c.itertext()).strip() for c in caption]
         graphic = next((e for e in fig.iter() if _local(e.tag) == "graphic"), None)
         ref = "" if graphic is None else next((v for k, v in graphic.attrib.items() if _local(k).endswith("href")), "")
         out.append((label, " ".join(" ".join(parts).split()), ref))

@@ -33,6 +33,10 @@ def test_no_python_and_no_shuffle(spark):
     assert "Exchange" not in plan and "Python" not in plan
 
 
-@pytest.mark.parametrize("text,days", [("after 3 weeks of pain", 21), ("1 year", 365), ("no time", None), (None, None)])
+@pytest.mark.parametrize("text,days", [
+    # a length of time alone is no delay: it has to stand beside words of delay or of the way to the diagnosis
+    ("The diagnosis came after 3 weeks of pain.", 21), ("1 year", None), ("after 3 weeks of pain", None), ("no time", None), (None, None),
+    ("A 45 years old woman was seen; the diagnosis came after 3 weeks.", 21), ("A 45-year-old man, aged 45 years, after 2 months was diagnosed.", 60),
+    ("with a delay of about 2 years", 730), ("She had 14 days of fever before the diagnosis.", 14), ("Lasting 9 weeks. The diagnosis was gout.", None)])
 def test_delay(spark, text, days):
     assert spark.createDataFrame([(text,)], "a string").select(diagnostic_delay(F.col("a"))).first()[0] == days
