@@ -22,10 +22,11 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from casetrail.llm.fold import bare
-from casetrail.session import ship
+from casetrail.llm.skew import join_by_size
+from casetrail.session import cut, ship
 
 MAX_TERMS = 100_000
 #: Words of remarks and doubt, which neither make nor hinder a match.
@@ -281,11 +282,11 @@ def read_terms(terms: DataFrame, id_col: str, name_col: str) -> list[tuple[str,
 
 
 def resolve_values(values: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> DataFrame:
-    """(list_name, value, term_id) of distinct (list_name, value)."""
+    """(list_name, value, n, term_id) of distinct (list_name, value, n)."""
     spark = values.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(lists)
-    schema = StructType([StructField(c, StringType()) for c in ("list_name", "value", "term_id")])
+    schema = StructType([*[StructField(c, StringType()) for c in ("list_name", "value")], StructField("n", LongType()), StructField("term_id", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matchers: dict[str, Matcher] = {}
@@ -295,16 +296,16 @@ def resolve_values(values: DataFrame, lists: dict[str, list[tuple[str, str]]]) -
                 if name not in matchers:
                     matchers[name] = Matcher(shared.value[name])
                 out.append(matchers[name].resolve(text))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.string())], names=schema.names)
 
-    return values.select("list_name", "value").mapInArrow(run, schema)
+    return values.select("list_name", "value", "n").mapInArrow(run, schema)
 
 
 def map_values(items: DataFrame, lists: dict[str, list[tuple[str, str]]]) -> DataFrame:
     """``items`` (field_name, list_name, row_id, item_no, value) with term_id; blank values drop out.
-    Values written as the list has them are resolved by equality, all others by the matcher."""
+    Each distinct value is resolved once; a value that many rows have is joined back without a shuffle of these rows."""
     items = items.where(F.col("value").isNotNull() & (F.regexp_replace("value", r"(?U)[\s\p{Cf}]+", "") != ""))
     # an explicit number of partitions, as these few bytes cost much time each and would be put together
     tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    distinct = items.select("list_name", "value").distinct().repartition(tasks, "value")
-    return items.join(resolve_values(distinct, lists), ["list_name", "value"])
+    distinct = items.groupBy("list_name", "value").agg(F.count("*").alias("n")).repartition(tasks, "value")
+    return join_by_size(items, cut(resolve_values(distinct, lists)), ["list_name", "value"], "n").drop("n")

@@ -14,26 +14,29 @@ import unicodedata as U
 # Letters of other scripts with the shape of a Latin letter. Greek small alpha, beta and gamma are seen.
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧινορυ"
 GREEK_LATIN = "ABEZHIKMNOPTYXivopu"
-CYRILLIC = "АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝ"
-CYRILLIC_LATIN = "ABESIJKMHOPCTXaeopcyxsijhdqw"
+CYRILLIC = "АВЕЅІЈКМНОРСТХаеорсухѕіјһԁԛԝԚԜҮӀѴѵԌ"
+CYRILLIC_LATIN = "ABESIJKMHOPCTXaeopcyxsijhdqwQWYIVvG"
+ARMENIAN = "ՕՍՏօոսհցզ"
+ARMENIAN_LATIN = "OUSonuhgq"
 OTHER = "‐‑µıȷɡɑ⁄∕"
 OTHER_LATIN = "--μijga//"
 #: Compatibility forms that look like their plain form. Raised and lowered digits, circled forms and the like are seen.
 PLAIN_TAGS = {"<wide>", "<narrow>", "<noBreak>", "<compat>", "<font>"}
 #: Beside the format characters (category Cf), these are invisible too.
-UNSEEN = "͏ᅟᅠ឴឵" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10)]))
-UNSEEN_CLASS = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}]"
-LAST = 0x1FFFF
+UNSEEN = "͏ᅟᅠ឴឵" + "".join(map(chr, [*range(0x180B, 0x1810), *range(0xFE00, 0xFE10), 0x3164, 0xFFA0, *range(0xE0100, 0xE01F0)]))
+UNSEEN_CLASS = r"[\p{Cf}\x{034F}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180B}-\x{180F}\x{FE00}-\x{FE0F}\x{3164}\x{FFA0}\x{E0100}-\x{E01EF}]"
+#: Planes with letters and marks; beyond them only the invisible characters of plane 14.
+SEEN, PLANE_14 = range(0xA0, 0x20000), range(0xE0000, 0xE0200)
 
 
 @functools.cache
 def tables() -> tuple[dict[str, str], dict[str, str]]:
     """(one character to one, one character to several)."""
-    base = dict(zip(GREEK + CYRILLIC + OTHER, GREEK_LATIN + CYRILLIC_LATIN + OTHER_LATIN))
+    base = dict(zip(GREEK + CYRILLIC + ARMENIAN + OTHER, GREEK_LATIN + CYRILLIC_LATIN + ARMENIAN_LATIN + OTHER_LATIN))
     one, many = dict(base), {}
-    for cp in range(0xA0, LAST + 1):
+    for cp in SEEN:
         c = chr(cp)
-        if c in one or 0xD800 <= cp < 0xE000:
+        if c in one or c in UNSEEN or 0xD800 <= cp < 0xE000:
             continue
         parts = U.decomposition(c).split()
         if not parts:
@@ -62,7 +65,7 @@ def tables() -> tuple[dict[str, str], dict[str, str]]:
 def _python_table() -> tuple[frozenset[str], dict[str, str]]:
     one, many = tables()
     out = {**one, **many, **{c: "" for c in UNSEEN}}
-    out |= {chr(cp): "" for cp in range(0xA0, LAST + 1) if U.category(chr(cp)) == "Cf"}
+    out |= {chr(cp): "" for cp in (*SEEN, *PLANE_14) if U.category(chr(cp)) == "Cf"}
     return frozenset(out), out
 
 

@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from casetrail.llm.fold import CYRILLIC, GREEK, OTHER, UNSEEN_CLASS, tables
+from casetrail.llm.fold import ARMENIAN, CYRILLIC, GREEK, OTHER, UNSEEN_CLASS, tables
+from casetrail.llm.skew import join_by_size
 from casetrail.session import cut, ship
 
 DUCK_MEMORY = "300MB"
+SALT_ROWS = 100_000
 
 
 def _quote(text: str) -> str:
@@ -50,7 +52,7 @@ def steps() -> tuple[str, ...]:
     one, many = tables()
     wide = [c for c in one if "\uff00" <= c <= "\uffef"]
     blank = [c for c in one if one[c] == " "]
-    letters = [c for c in one if c in GREEK + CYRILLIC + OTHER]
+    letters = [c for c in one if c in GREEK + CYRILLIC + ARMENIAN + OTHER]
     rest = sorted(set(one) - {*wide, *blank, *letters})
     ligatures = [c for c in many if "\ufb00" <= c <= "\ufb06"]
     others = [c for c in many if c not in ligatures]
@@ -129,7 +131,8 @@ def equal_looking(parts: dict[str, DataFrame]) -> DataFrame:
 
     Groups of one form, the vast majority, end in a partial aggregation. In the rest, the rows of the
     group's most frequent form meet the others only, so a form that a third of all rows have costs what
-    it gives and no more; such a form is spread by adaptive skew handling only, there is no salt.
+    it gives and no more. A look of many rows is joined to what belongs to it without a shuffle of its rows, and
+    its rows are spread over as many salts as hold SALT_ROWS each, the others being copied to every salt.
     """
     rows = None
     for name, df in parts.items():
@@ -137,12 +140,13 @@ def equal_looking(parts: dict[str, DataFrame]) -> DataFrame:
         rows = df if rows is None else rows.unionByName(df)
     rows = cut(rows)
     look = ["table_name", "field_name", "look_hi", "look_lo"]
-    mixed = rows.groupBy(*look).agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).where("_lo <> _hi").drop("_lo", "_hi")
-    inside = cut(rows.join(mixed, look, "left_semi"))
-    top = (inside.groupBy(*look, "form").agg(F.count("*").alias("n"))
-           .groupBy(*look).agg(F.max_by("form", F.struct("n", "form")).alias("main")))
-    inside = inside.join(top, look).withColumn("is_main", F.col("form") == F.col("main")).drop("main")
-    others = inside.where(~F.col("is_main")).select(*look, F.col("row_id").alias("o"), F.col("form").alias("of"))
-    pairs = inside.join(others, look).where((F.col("form") != F.col("of")) & (F.col("is_main") | (F.col("row_id") < F.col("o"))))
+    by_form = rows.groupBy(*look, "form").agg(F.count("*").alias("n"))
+    mixed = cut(by_form.groupBy(*look).agg(F.max_by("form", F.struct("n", "form")).alias("main"), F.count("*").alias("forms"), F.sum("n").alias("n"))
+                .where("forms > 1").drop("forms"))
+    inside = cut(join_by_size(rows, mixed, look, "n").withColumn("is_main", F.col("form") == F.col("main")).drop("main"))
+    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
+    others = (inside.where(~F.col("is_main")).select(*look, F.col("row_id").alias("o"), F.col("form").alias("of"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt")))
+    inside = inside.withColumn("salt", F.pmod(F.xxhash64("row_id"), salts).cast("int"))
+    pairs = inside.join(others, [*look, "salt"]).where((F.col("form") != F.col("of")) & (F.col("is_main") | (F.col("row_id") < F.col("o"))))
     return pairs.select("table_name", "field_name", F.least("row_id", "o").alias("row_id_a"),
                         F.greatest("row_id", "o").alias("row_id_b"))

@@ -33,6 +33,26 @@ def test_p1_pairs_against_brute_force(spark):
     assert lookalike.equal_looking({"t": lookalike.forms(df.limit(0), "k", ["t"])}).count() == 0
 
 
+def test_p1_hot_look(spark, monkeypatch):
+    """A look that a third of all rows have, spread over salts: the same pairs."""
+    monkeypatch.setattr(lookalike, "SALT_ROWS", 7)
+    rows = [(i, "cell") for i in range(40)] + [(100 + i, "c\u0435ll") for i in range(3)] + [(200 + i, f"other {i}") for i in range(80)] + [(300, "other\u00a01")]
+    df = spark.createDataFrame(rows, "k long, t string")
+    got = [(x["row_id_a"], x["row_id_b"]) for x in lookalike.equal_looking({"t": lookalike.forms(df, "k", ["t"])}).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, 100 + b) for a in range(40) for b in range(3)} | {(201, 300)}
+
+
+def test_p1_unseen_characters(spark):
+    """Code points written out here, not taken from the operator's tables."""
+    cases = {"a\u3164b": "ab", "a\uffa0b": "ab", "a\U000e0101b": "ab", "a\U000e0001b": "ab", "a\u200db": "ab", "a\ufe0fb": "ab", "a\u2060b": "ab", "\u051apex": "Qpex",
+             "\u04c0gG": "IgG", "c\u0585re": "core", "\uff21\uff22\uff23": "ABC", "fi\u00adbre": "fibre", "a\u3000b": "a b", "\u00e9": "e\u0301", "\u03b1": "\u03b1"}
+    df = spark.createDataFrame([(i, a) for i, a in enumerate(cases)], "k long, t string")
+    got = {r["k"]: r["t"] for r in lookalike.canonicalize(df, "k", ["t"]).collect()}
+    import unicodedata
+    for i, (a, b) in enumerate(cases.items()):
+        assert got[i] == unicodedata.normalize("NFC", b) == fold.fold(a), ascii(a)
+
+
 def test_p3_repair(spark):
     words = "biopsy of the renal cortex showed plasma cells and drug-related change without severe overlapping rash in wrists".split()
     r = random.Random(1)
@@ -186,6 +206,53 @@ def test_p4_share_of_all_words(spark):
     assert {tuple(x) for x in history.repeats(df, "id", "b", "p", "t")[1].collect()} == want
 
 
+def test_p4_kept_index(spark, tmp_path):
+    """Batch after batch into an index that is opened anew each time gives what all at once gives, and a batch reads no rows of
+    those before it. Words put in front, moved sentences and scattered changes up to a sixth, measured."""
+    r = random.Random(21)
+    vocabulary = ["".join(r.choice("bcdfglmnprst") for _ in range(6)) for _ in range(3000)]
+    rows, plain, kinds = [], {}, {}
+    for base in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.choice([24, 60, 75, 100, 145]))]
+        third = len(w) // 3
+        for kind in ("first", "front", "moved", "changed", "lacking"):
+            v = list(w)
+            if kind == "front":
+                v = [r.choice(vocabulary) for _ in range(len(w) // 4)] + v
+            elif kind == "moved":
+                v = v[-third:] + v[:-third]
+            elif kind == "changed":
+                for i in r.sample(range(len(v)), len(v) // 6):
+                    v[i] = f"x{r.randrange(10**9)}"
+            elif kind == "lacking":
+                v = v[:-len(v) // 5]
+            kinds[len(rows)] = kind
+            plain[len(rows)] = Counter(v)
+            rows.append((len(rows), 1 + len(rows) % 5, None, " ".join(v)))
+    order = sorted(rows, key=lambda x: (x[1], x[0]))
+    kept, want = [], set()
+    for i, _, _, _ in order:
+        hits = {j for j in kept if 6 * (plain[i] & plain[j]).total() >= 5 * min(plain[i].total(), plain[j].total())}
+        want |= {(j, i) for j in hits}
+        if not hits:
+            kept.append(i)
+    df = spark.createDataFrame(rows, "id long, b int, p string, t string")
+    whole = {tuple(x) for x in history.repeats(df, "id", "b", "p", "t")[1].collect()}
+    assert len(whole & want) >= 0.98 * len(want) and not whole - want
+    assert {x for x in want if kinds[x[1]] != "changed"} <= whole  # only scattered changes at the full sixth may be missed
+    got = set()
+    for batch in range(1, 4):
+        df.where(f"b = {batch}").write.parquet(str(tmp_path / f"batch{batch}"))
+        index = history.SegmentIndex(spark, str(tmp_path / "index"), buckets=2, bits=4)
+        part = spark.read.parquet(str(tmp_path / f"batch{batch}"))
+        got |= {tuple(x) for x in index.add(history.strings(part, "id", "b", "p", "t"))[1].collect()}
+        index.drop()
+        import shutil
+        shutil.rmtree(tmp_path / f"batch{batch}")  # a later batch cannot read it
+    until = {x[0] for x in rows if x[1] <= 3}
+    assert got == {x for x in whole if x[0] in until and x[1] in until}
+
+
 def test_p6_matching():
     m = canonical.Matcher([("1", "juvenile idiopathic arthritis"), ("2", "bullous pemphigoid"), ("3", "Q fever"), ("4", "rheumatic fever"),
                            ("5", "Reduced complement C3"), ("6", "Reduced complement C4"), ("7", "granulomatosis with polyangiitis")])
