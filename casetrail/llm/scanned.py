@@ -95,14 +95,18 @@ BROKEN = re.compile(rf"[{HYPHENS}]\s")
 def _may_meet(text: str) -> Iterator[tuple[str, str]]:
     """Words and neighbours that stand together once a line between them goes or halves are joined."""
     lines = [p for x in split_lines(text.replace("\xad", "¬")) if (p := x.split())]
-    pairs = [(left[-2:], right[:2]) for k in (1, 2) for left, right in zip(lines, lines[k:])]
-    pairs += [(p[max(0, i - 1):i + 1], p[i + 1:i + 3]) for p in lines for i, x in enumerate(p[:-1]) if x[-1] in HYPHENS]
-    for before, after in pairs:
-        left, right = tokens(fold(" ".join(before))), tokens(fold(" ".join(after)))
+    heads = [tokens(fold(" ".join(p[:2]))) for p in lines]
+    tails = [tokens(fold(" ".join(p[-2:]))) for p in lines]
+    halved = [p[-1][-1] in HYPHENS for p in lines]
+    pairs = [(tails[i], heads[i + 1], True) for i in range(len(lines) - 1) if halved[i]]  # others stand together as they are
+    pairs += [(tails[i], heads[i + 2], halved[i]) for i in range(len(lines) - 2)]
+    pairs += [(tokens(fold(" ".join(p[max(0, i - 1):i + 1]))), tokens(fold(" ".join(p[i + 1:i + 3]))), True)
+              for p in lines for i, x in enumerate(p[:-1]) if x[-1] in HYPHENS]
+    for left, right, half in pairs:
         if not left or not right:
             continue
         yield "pair", f"{left[-1]} {right[0]}"
-        if before[-1][-1] in HYPHENS:
+        if half:
             whole = left[-1] + right[0]
             yield "word", whole
             if len(left) > 1:
@@ -361,15 +365,16 @@ def may_stand_for(trie: Trie, word: str, own: int) -> list[tuple[str, int, int,
     """(word it may stand for, count, edits, other edits) of a word seen ``own`` times; none if it is sound."""
     odd = not re.fullmatch(rf"{LETTERS}+", word)
     letters = sum(c.isalpha() for c in word)
-    if len(word) < 2 or odd and (letters < max(1, len(word) - 3) or letters * 2 < len(word)):
+    if len(word) < 2 or "-" in word or odd and (letters < max(1, len(word) - 3) or letters * 2 < len(word)):
         return []
     floor = RATIO * max(own, 1)
-    # the shape of a digit or sign says what it stands for, other edits are for letters
-    for other in (0,) if odd or len(word) < 4 else (1, OTHER_EDITS) if len(word) >= LONG_WORD else (1,):
+    # the shape of a digit or sign says what it stands for; other edits are for words of letters that occur once, as no others
+    # may be taken for another word by them
+    for other in (0,) if odd or len(word) < 4 or own != 1 else (1, OTHER_EDITS) if len(word) >= LONG_WORD else (1,):
         # at most one edit per three letters, or per two where digits or signs give them away
         found = [(w, n, edits, o) for w, (edits, o, n) in trie.search(word, MOST_EDITS, other, floor).items()
                  if w != word and edits <= max(1.0, len(w) / (2 if odd else 3))]
-        if found or own > 1:
+        if found:
             break
     return found
 
