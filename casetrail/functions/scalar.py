@@ -30,7 +30,7 @@ def url_quote(c: Column) -> Column:
 
 def two_decimals(c: Column) -> Column:
     """Half-even rounding to two places, as text."""
-    return F.format_number(F.bround(c, 2), "0.00")
+    return F.replace(F.format_number(F.bround(c, 2), 2), F.lit(","), F.lit(""))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -22,8 +22,7 @@ def merge_records(cases: DataFrame, figures: DataFrame, key: str, case_order: li
     becomes "". Null keys refer to nothing and are left out. Repeated cases: the last one.
     The figures of one article form one array by nature of the result.
     """
-    c_cols = [c for c in cases.columns if c != key]
-    f_cols = [c for c in figures.columns if c != key]
+    c_cols, f_cols = ([key, *(c for c in d.columns if c != key)] for d in (cases, figures))  # nested records are whole
     c = (last_wins(cases.where(F.col(key).isNotNull()), key, *case_order)
          .select(key, F.struct(*[F.col(x) for x in c_cols]).alias("case_report")))
     item = F.struct(F.struct(*[F.col(x) for x in figure_order]).alias("_o"), F.struct(*[F.col(x) for x in f_cols]).alias("_f"))

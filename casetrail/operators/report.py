@@ -26,7 +26,7 @@ def coverage(df: DataFrame, group: str, flag: Column) -> DataFrame:
 
 
 def topic_matrix(df: DataFrame, group: str, text: str, topics: dict[str, str]) -> DataFrame:
-    """Keyword hits per topic (rows) and group value (columns)."""
+    """One row per group value and topic whose keywords a text has."""
     hit = F.array_compact(F.array(*[F.when(F.rlike(F.col(text), F.lit(p)), F.lit(t)) for t, p in topics.items()]))
     return df.select(group, F.explode(hit).alias("topic"))
 
@@ -39,3 +39,20 @@ def confusion_edges(df: DataFrame, sequence: str, target: str) -> DataFrame:
 
 def trail(sequence: Column) -> Column:
     return F.array_join(sequence, " → ")
+
+
+def topic_table(df: DataFrame, group: str, text: str, topics: dict[str, str]) -> DataFrame:
+    """Texts with a topic's keywords, one row per group value and one column per topic."""
+    return df.groupBy(group).agg(*[F.count_if(F.rlike(F.col(text), F.lit(p))).alias(t) for t, p in topics.items()])
+
+
+def figure_totals(figures: DataFrame, article: str, file: str) -> DataFrame:
+    """The running totals of a figure job at its end: articles with figures, figures, figures with a file, figures left unclassified."""
+    return figures.agg(F.countDistinct(article).alias("articles"), F.count("*").alias("figures"), F.count(file).alias("saved"),
+                       F.count_if(F.lower("figure_type") == "other").alias("unclassified"))
+
+
+def direction(entities: Column, disease: Column) -> Column:
+    """forward where a record names wrong diagnoses before its disease, reverse where its disease was the wrong diagnosis, none else."""
+    own = F.exists(entities, lambda e: F.lower(e) == F.lower(disease))
+    return F.when(F.coalesce(own, F.lit(False)), "reverse").when(F.coalesce(F.size(entities), F.lit(0)) > 0, "forward").otherwise("none")

@@ -80,12 +80,15 @@ def top_k_of_queries(df: DataFrame, id_col: str, vector: str, queries: DataFrame
 def bm25(df: DataFrame, id_col: str, text: str, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Scores of every row holding one of a few stated terms. Corpus statistics cover all rows and
     form one aggregate row; no shuffle of texts."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
     def count(term: str) -> Column:
-        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
+        """Occurrences as a whole word; the pattern runs only where the letters are there at all."""
+        word = F.regexp_count(F.col("_t"), F.lit(rf"(?U)(?<!\w)\Q{term}\E(?!\w)"))
+        return F.when(F.contains(F.col("_t"), F.lit(term)), word).otherwise(0)
 
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
-    base = df.select(id_col, words.alias("_w")).select(
-        id_col, F.size("_w").alias("_n"),
+    base = df.select(id_col, low.alias("_t")).select(
+        id_col, F.regexp_count("_t", F.lit(r"(?U)\w+")).alias("_n"),
         *[count(t).alias(f"_tf{i}") for i, t in enumerate(terms)])
     stats = base.agg(F.count("*").alias("_docs"), F.avg("_n").alias("_avg"),
                      *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(terms))])
@@ -98,6 +101,12 @@ def bm25(df: DataFrame, id_col: str, text: str, terms: list[str], k1: float = 1.
     return base.where(hit).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))
 
 
+def ranked(hits: DataFrame, id_col: str, k: int) -> DataFrame:
+    """The k best hits with their rank, ties by id."""
+    best = hits.orderBy(F.desc("score"), id_col).limit(k)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))  # over k rows
+
+
 def fuse(ranked: list[DataFrame], id_col: str, k: int = 60) -> DataFrame:
     """Reciprocal-rank fusion of result lists that carry id and rank."""
     both = None

@@ -185,6 +185,37 @@ ORACLE = {
           * sqrt({_COSINE.format(a='q.v', b='q.v')})) AS s FROM embeddings e, (SELECT embedding AS v FROM embeddings WHERE vec_id = 7) q)
         ORDER BY s DESC, vec_id LIMIT 10""",
     "keyword_search": f"""{_BM} SELECT report_id, round({_bm('a', 'da')} + {_bm('b', 'db')} + {_bm('c', 'dc')}, 6) AS score FROM t, s WHERE a + b + c > 0""",
+    "keyword_fusion": f"""
+        WITH x AS (SELECT report_id, list_filter(regexp_split_to_array(lower(coalesce(abstract, '')), '[^\\pL\\p{{Nd}}\\p{{Nl}}\\pM\\p{{Pc}}\\x{{200C}}\\x{{200D}}]+'), lambda x: x <> '') AS l FROM case_reports),
+        t AS (SELECT report_id, len(l) AS n, {', '.join(f"len(list_filter(l, lambda x: x = '{w}')) AS {c}" for w, c in (('tuberculosis', 'a'), ('lymphoma', 'b'), ('seizures', 'c'), ('rash', 'e')))} FROM x),
+        s AS (SELECT count(*) AS d, avg(n) AS m, {', '.join(f'count(*) FILTER ({c} > 0) AS d{c}' for c in 'abce')} FROM t),
+        one AS (SELECT report_id, round({_bm('a', 'da')} + {_bm('b', 'db')}, 6) AS score FROM t, s WHERE a + b > 0),
+        two AS (SELECT report_id, round({_bm('c', 'dc')} + {_bm('e', 'de')}, 6) AS score FROM t, s WHERE c + e > 0),
+        r AS (SELECT report_id, row_number() OVER (ORDER BY score DESC, report_id) AS k FROM one UNION ALL SELECT report_id, row_number() OVER (ORDER BY score DESC, report_id) FROM two)
+        SELECT report_id, round(sum(1.0::DOUBLE / (60 + k)), 9) AS score FROM r WHERE k <= 100 GROUP BY 1""",
+    "topic_table": f"""SELECT coalesce(disease, '') AS disease, {', '.join(f"count(*) FILTER (regexp_matches(abstract, '(?i){p}')) AS {t}" for t, p in _TOPIC.items())} FROM case_reports GROUP BY 1""",
+    "figure_totals": f"""
+        SELECT count(DISTINCT {KEY}) AS articles, count(*) AS figures, count(file_path) AS saved, count(*) FILTER (lower(figure_type) = 'other') AS unclassified FROM extracted_figures""",
+    "diagnosis_directions": """
+        SELECT CASE WHEN coalesce(len(list_filter(misdiagnosis_sequence, lambda e: lower(e) = lower(disease))), 0) > 0 THEN 'reverse'
+          WHEN coalesce(len(misdiagnosis_sequence), 0) > 0 THEN 'forward' ELSE 'none' END AS direction, count(*) AS n FROM case_reports GROUP BY 1""",
+    "figure_diseases": f"""
+        SELECT figure_id, coalesce(d, '') AS report_disease FROM extracted_figures f LEFT JOIN (SELECT {KEY} AS k, coalesce(disease, '') AS d FROM case_reports WHERE {KEY} IS NOT NULL
+          QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY report_id DESC) = 1) r ON {ARTICLE_KEY_SQL.format('f.pubmed_id')} = r.k""",
+    "reported_figures": f"""
+        SELECT figure_id, report_id FROM extracted_figures f JOIN (SELECT {KEY} AS k, max(report_id) AS report_id FROM case_reports WHERE {KEY} IS NOT NULL GROUP BY 1) r
+        ON {ARTICLE_KEY_SQL.format('f.pubmed_id')} = r.k""",
+    "nearest_captions": """
+        SELECT figure_id, CASE WHEN figure_index % 9 * 10 >= 35 AND figure_index % 9 * 10 <= 60 AND lower(caption) LIKE 'fig%' AND (figure_index % 9 * 10 < 60 OR caption < 'Figure ' || figure_index)
+          THEN replace(caption, chr(10), ' ') ELSE 'Figure ' || figure_index END AS caption FROM extracted_figures WHERE figure_index IS NOT NULL""",
+    "term_forms": r"""
+        SELECT map_id, regexp_replace(regexp_replace(hpo_term, '^[\s\x0b\x{85}\pZ]+', ''), '[\s\x0b\x{85}\pZ]+$', '') AS trimmed,
+          regexp_replace(string_split(regexp_replace(hpo_term || chr(10) || 'second', '^[\s\x0b\x{85}\pZ]+', ''), chr(10))[1], '', '') AS line,
+          replace(url_encode(hpo_id), '%2F', '/') AS address, printf('%.2f', map_id / 8.0) AS number, hpo_term[1:12] AS start
+        FROM hpo_mapping_table WHERE hpo_term IS NOT NULL""".replace("\\\\", "\\"),
+    "first_reports": f"SELECT report_id, {KEY} AS article FROM case_reports WHERE {KEY} IS NOT NULL ORDER BY report_id LIMIT 10",
+    "unreadable_props": """
+        SELECT event_id FROM (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN left(props, len(props) - 1) ELSE props END AS v FROM events) WHERE NOT json_valid(v) AND NOT regexp_full_match(v, '\\s*')""",
     "phenotype_map": """
         SELECT map_id, disease, term_id, phenotype_category FROM hpo_mapping_table JOIN hpo_terms ON hpo_term = term_name""",
     "invalid_records": f"""

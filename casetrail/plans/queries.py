@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from casetrail.functions import extraction, figures
 from casetrail.functions.keys import article_key
-from casetrail.functions.scalar import base_name, file_stem_id, version_number
+from casetrail.functions.scalar import base_name, file_stem_id, first_line, text_or_empty, two_decimals, url_quote, version_number
 from casetrail.operators import evaluate, merge, orphans, overlay, packed, quality, report, search
 from casetrail.session import spread, table
+from casetrail.sources import files
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -177,6 +178,64 @@ def keyword_search(spark: SparkSession, sf: str) -> DataFrame:
     return hits.select("report_id", F.round("score", 6).alias("score"))
 
 
+def keyword_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred best of two keyword searches, their ranks fused."""
+    d = table(spark, sf, "case_reports")
+    parts = [search.bm25(d, "report_id", "abstract", t).withColumn("score", F.round("score", 6)) for t in (["tuberculosis", "lymphoma"], ["seizures", "rash"])]
+    return search.fuse([search.ranked(p, "report_id", 100) for p in parts], "report_id").select("report_id", F.round("score", 9).alias("score"))
+
+
+def topic_table(spark: SparkSession, sf: str) -> DataFrame:
+    return report.topic_table(table(spark, sf, "case_reports").withColumn("disease", F.coalesce("disease", F.lit(""))), "disease", "abstract", TOPICS)
+
+
+def figure_totals(spark: SparkSession, sf: str) -> DataFrame:
+    return report.figure_totals(_figures(spark, sf), "article", "file_path")
+
+
+def diagnosis_directions(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "case_reports").select(report.direction(F.col("misdiagnosis_sequence"), F.col("disease")).alias("direction"))
+    return d.groupBy("direction").agg(F.count("*").alias("n"))
+
+
+def figure_diseases(spark: SparkSession, sf: str) -> DataFrame:
+    """Every figure's disease by its article's last report, "" where there is none."""
+    known = merge.last_wins(_reports(spark, sf).where("article is not null").select("article", "report_id", F.coalesce("disease", F.lit("")).alias("report_disease")), "article", "report_id")
+    return files.lookup(_figures(spark, sf).select("figure_id", "article"), known.select("article", "report_disease"), "article", "report_disease", "").select("figure_id", "report_disease")
+
+
+def reported_figures(spark: SparkSession, sf: str) -> DataFrame:
+    """Figures of articles with a report; the others drop out."""
+    known = merge.last_wins(_reports(spark, sf).where("article is not null").select("article", "report_id"), "article", "report_id")
+    return files.lookup(_figures(spark, sf).select("figure_id", "article"), known, "article", "report_id").select("figure_id", "report_id")
+
+
+def nearest_captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Of three text blocks a figure, composed from its own columns, the one that captions an image ending at 40."""
+    blocks = F.array(*[F.struct(y.cast("double").alias("y0"), t.alias("text")) for y, t in (
+        (F.col("figure_index") % 9 * 10, F.col("caption")), (F.lit(60), F.concat(F.lit("Figure "), F.col("figure_index"))), (F.lit(41), F.lit("body text")))])
+    d = table(spark, sf, "extracted_figures").where("figure_index is not null")
+    return d.select("figure_id", figures.nearest_caption(F.lit(40.0), blocks).alias("caption"))
+
+
+def term_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Scalar functions on typed terms: trimmed, first line, quoted for an address, a number with two places."""
+    d = table(spark, sf, "hpo_mapping_table").where("hpo_term is not null")
+    return d.select("map_id", text_or_empty(F.col("hpo_term")).alias("trimmed"), first_line(F.concat(F.col("hpo_term"), F.lit("\nsecond"))).alias("line"),
+                    url_quote(F.col("hpo_id")).alias("address"), two_decimals(F.col("map_id") / 8).alias("number"), F.substring("hpo_term", 1, 12).alias("start"))
+
+
+def first_reports(spark: SparkSession, sf: str) -> DataFrame:
+    """The first ten reports with an article, by their place in the input (the limit is the feature)."""
+    return _reports(spark, sf).where("article is not null").orderBy("report_id").limit(10).select("report_id", "article")
+
+
+def unreadable_props(spark: SparkSession, sf: str) -> DataFrame:
+    """Events whose properties, cut off every third time, are no JSON."""
+    d = table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props")).alias("value"))
+    return quality.bad_json(d).select("event_id")
+
+
 def phenotype_map(spark: SparkSession, sf: str) -> DataFrame:
     terms = table(spark, sf, "hpo_terms")
     return table(spark, sf, "hpo_mapping_table").join(F.broadcast(terms), F.col("hpo_term") == F.col("term_name")).select("map_id", "disease", "term_id", "phenotype_category")
@@ -193,4 +252,5 @@ def invalid_records(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     extract_levels, extract_summary, signal_only_reports, signal_by_disease, diagnostic_delays, caption_classes, figures_by_type, last_reports, merged_summary,
     label_confusion, wrong_diagnosis_edges, diagnosis_trails, sequence_items, topics_by_disease, file_ids, newest_versions, annotated_figures,
-    unlabelled_reports, zero_shot_types, nearest_vectors, nearest_vectors_of_queries, keyword_search, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}
+    unlabelled_reports, zero_shot_types, nearest_vectors, nearest_vectors_of_queries, keyword_search, keyword_fusion, topic_table, figure_totals, diagnosis_directions, figure_diseases, reported_figures,
+    nearest_captions, term_forms, first_reports, unreadable_props, phenotype_map, invalid_records, p2_found, p2_values, p5_found, p5_counts)}

@@ -1,4 +1,4 @@
-"""Declared record types. Readers take these; nothing is inferred."""
+"""Declared record types. Readers take these; nothing is inferred. Field names are fixed values."""
 
 from __future__ import annotations
 
@@ -50,7 +50,7 @@ PHENOTYPE_MAP = StructType([_s(n) for n in (
 FIGURE_CSV_COLUMNS = ["pubmed_id", "disease", "figure_index", "figure_type", "file_path", "caption",
                       "clinical_relevance", "extracted_at", "source_pdf"]
 
-#: Rules of the validator: field -> (kind, presence). Kinds are str, int, strlist, time, case, figures.
+#: Rules of the validator: field -> (kind, presence, rules of a nested record). Kinds are str, int, strlist, time, object, objectlist.
 #: "required" must be there and not null, "default" may be missing but not null, "optional" may be either.
 CASE_RULES = {
     "pubmed_id": ("str", "required"), "disease": ("str", "required"), "title": ("str", "required"),
@@ -63,7 +63,7 @@ FIGURE_RULES = {
     "clinical_relevance": ("str", "default"), "extracted_at": ("time", "required"), "source_pdf": ("str", "default"),
 }
 MERGED_RULES = {
-    "pubmed_id": ("str", "required"), "disease": ("str", "required"), "case_report": ("object", "optional"),
-    "figures": ("objectlist", "default"), "merged_at": ("time", "required"),
+    "pubmed_id": ("str", "required"), "disease": ("str", "required"), "case_report": ("object", "optional", CASE_RULES),
+    "figures": ("objectlist", "default", FIGURE_RULES), "merged_at": ("time", "required"),
 }
 MODELS = {"CaseReport": CASE_RULES, "ExtractedFigure": FIGURE_RULES, "MergedRecord": MERGED_RULES}

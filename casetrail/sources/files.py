@@ -45,8 +45,9 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | None = None) -
     return (reader.schema(schema) if schema else reader.option("inferSchema", False)).csv(path)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+def write_jsonl(df: DataFrame, path: str, nulls: bool = True) -> None:
+    """One object a line; without ``nulls``, fields without a value are left out, so that a reader's defaults hold."""
+    df.write.mode("overwrite").option("ignoreNullFields", not nulls).json(path)
 
 
 def write_figures_csv(figures: DataFrame, path: str) -> None:

@@ -25,6 +25,8 @@ def test_xml(spark):
     xml = """<article xmlns:xlink="u"><body><fig><label> Fig 1 </label><caption><title>Skin</title><p>a  <b>rash</b></p></caption>
              <graphic xlink:href="f1.jpg"/></fig></body></article>"""
     assert figures_of_xml(xml) == [("Fig 1", "Skin a rash", "f1.jpg")]
+    inner = "<a><fig><label>Fig <b>2</b></label><caption>bare</caption></fig></a>"
+    assert figures_of_xml(inner) == [("Fig", "", "")]  # a label's direct text, the texts of a caption's children
     assert figures_of_xml("<broken") == [] and figures_of_xml(None) == []
     df = spark.createDataFrame([("1", xml), ("2", "<broken"), ("3", None)], "id string, x string")
     rows = parse_articles(df, "id", "x").collect()
@@ -37,6 +39,8 @@ def test_merge(spark):
     got = {r["k"]: r for r in merge.merge_records(cases, figs, "k", ["o"], ["n"]).collect()}
     assert set(got) == {"1", "2", "3"}
     assert got["1"]["disease"] == "" and [f["n"] for f in got["1"]["figures"]] == [0, 1] and got["1"]["case_report"]["o"] == 2
+    short = {r["k"]: (r["disease"], r["has_case_report"], r["n_figures"], r["first"] and r["first"]["n"]) for r in merge.merged_summary(cases, figs, "k", ["o"], ["n"]).collect()}
+    assert short == {k: (r["disease"], r["case_report"] is not None, len(r["figures"]), r["figures"][0]["n"] if r["figures"] else None) for k, r in got.items()}
     assert got["2"]["figures"] == [] and got["3"]["case_report"] is None and got["3"]["disease"] == ""
 
 
