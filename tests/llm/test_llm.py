@@ -253,6 +253,24 @@ def test_p4_kept_index(spark, tmp_path):
     assert got == {x for x in whole if x[0] in until and x[1] in until}
 
 
+def test_p4_words_are_kept_once(spark, monkeypatch):
+    """Beside the index's own table nothing that is written between the steps holds the words of the rows."""
+    written = []
+    monkeypatch.setattr(history, "cut", lambda df, cut=history.cut: (written.append(df.columns), cut(df))[1])
+    texts = ["one " * 8 + "text of a row", "one " * 8 + "text of a row", "quite another text " * 4]
+    df = spark.createDataFrame([(i, 1, None, t) for i, t in enumerate(texts)], "id long, b int, p string, t string")
+    assert [tuple(x) for x in history.repeats(df, "id", "b", "p", "t")[1].collect()] == [(0, 1)]
+    assert written and not [x for x in written if "words" in x]
+
+
+def test_p4_words_by_chunk():
+    """The words of a text are those of its chunks between blanks, whatever characters stand beside a blank."""
+    r, code, chunk = random.Random(3), history._Codes(), history._Chunks()
+    for _ in range(5000):
+        t = "".join(r.choice("ab1  .-_e\u0301\u00e9\u200b\u00a0\u0391\u03a3\u0130\ufb01\u3000\u0308\t\n\u00b4\u5929") for _ in range(r.randrange(90)))
+        assert b"".join(chunk[x] for x in t.split(" ")) == np.array([code[w] for w in history.content_words(t)], np.int64).tobytes()
+
+
 def test_p6_matching():
     m = canonical.Matcher([("1", "juvenile idiopathic arthritis"), ("2", "bullous pemphigoid"), ("3", "Q fever"), ("4", "rheumatic fever"),
                            ("5", "Reduced complement C3"), ("6", "Reduced complement C4"), ("7", "granulomatosis with polyangiitis")])
