@@ -3,10 +3,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from casetrail.llm import canonical, encode, fold, history, lookalike, packing, repetition, scanned
+from casetrail.llm import canonical, encode, fold, history, lookalike, packing, repetition, scanned, segments
 
 FORMS = [("Ｆigure １", "Figure 1"), ("сell", "cell"), ("ce​ll­", "cell"), ("é", "é"), ("a b", "a b"), ("ﬁbre", "fibre"),
          ("x² α", "x² α"), ("D‑dimer", "D-dimer"), (" pad ", "pad"), ("a\r\nb", "a\nb"), ("", ""), (None, None), ("  ", ""), ("е́", "é")]
@@ -263,6 +264,40 @@ def test_p4_words_are_kept_once(spark, monkeypatch):
     assert written and not [x for x in written if "words" in x]
 
 
+def test_p4_few_pairs_are_verified(spark, monkeypatch, tmp_path):
+    """Texts that share stock phrases but too few words are not held against each other word for word."""
+    r = random.Random(5)
+    stock = [f"stock{i}" for i in range(30)]  # as many segments as two copies have to share
+    rows = [(i, 1, None, " ".join(stock + [f"w{r.randrange(5000)}" for _ in range(60)])) for i in range(7)]
+    rows.append((7, 1, None, rows[0][3] + " end"))
+
+    def counted(batches, inner=history._verify, at=str(tmp_path / "verified")):
+        for b in batches:
+            with open(at, "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield from inner(iter([b]))
+
+    monkeypatch.setattr(history, "_verify", counted)
+    df = spark.createDataFrame(rows, "id long, b int, p string, t string")
+    assert [tuple(x) for x in history.repeats(df, "id", "b", "p", "t")[1].collect()] == [(0, 7)]
+    assert sum(map(int, (tmp_path / "verified").read_text().split())) == 1
+
+
+def test_p4_sketches():
+    """Two texts that are the same but for small changes always pass; most others don't. Also with words that come very often."""
+    r, told = random.Random(6), Counter()
+    for size in (1, 2, 7, 30, 150, 1500, 6000):
+        for _ in range(40):
+            a = [r.choice([r.randrange(-2**63, 2**63), 7, 7 + 128, r.randrange(400)]) for _ in range(size)]
+            b = [r.randrange(-2**63, 2**63) if r.random() < r.choice([0, 0.1, 0.2]) else x for x in a[:r.randrange(len(a) * 3 // 4, len(a)) + 1]]
+            b = r.choice([b, b, [r.randrange(-2**63, 2**63) for _ in a], a + a])
+            x, y = np.array(a, np.int64), np.array(b, np.int64)
+            both = segments.sketches(np.r_[x, y], np.array([len(x), len(y)]))
+            told[history.same_but_for_small_changes(x, y), bool(segments.enough_in_common(pa.array(both[:1]), pa.array(both[1:]))[0])] += 1
+    assert told[True, True] > 50 and told[True, False] == 0 and told[False, False] > 0.8 * told[False, True] > 0
+    assert segments.sketches(np.empty(0, np.int64), np.empty(0, np.int64)) == []
+
+
 def test_p4_words_by_chunk():
     """The words of a text are those of its chunks between blanks, whatever characters stand beside a blank."""
     r, code, chunk = random.Random(3), history._Codes(), history._Chunks()
